@@ -34,6 +34,14 @@ AFTER_ORDINAL = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär mrz apr jun jul aug sep sept okt nov dez"
     " jahrhundert jahrhunderts jahrhunderte jh jhd jahrtausend quartal klasse stock stockwerk etage platz mal januar". split()
 )
+#: Words that open sentences, and with a capital after an abbreviation hardly anything else.
+STARTERS = frozenset(
+    "aber alle als am an auch auf aus bei bis da dabei damit dann das dem den der die dies diese dieser doch dort ein eine einem einen einer er es für haben hat ich"
+    " ihre im in ist jetzt kommen man mit nach noch nun nur ob ohne rufen sagen sein seit sie sind so stellen und unter viele vom von vor was weil wenn wer wie wir wird wo"
+    " zu zum zur a all an and as at but by for from he how if in it many most no now on or send she since that the then there these they this to under we what when with you"
+    " au avec ce ces cette dans des elle en et il ils la le les mais nous on où par pour pourquoi quand que qui selon si son sur un une vous"
+    " а в во для и как когда к мы на но он она они по с то что это".split()
+)
 #: How many possible ends a span may pass over. A longer run without a sure end is cut at the likeliest places.
 MOST_PASSED = 48
 
@@ -95,7 +103,7 @@ def _opening(quote: str, word: str, number_before: bool, gap: bool, quoted: bool
     if quote:
         return 2.0
     if first.isupper():
-        return 1.5
+        return 2.5 if word.lower() in STARTERS else 1.5
     if first.isdigit():
         return -0.5 if number_before else 0.5
     return 0.5
@@ -166,6 +174,8 @@ def _sentences(text: str, start: int, end: int, thai: bool, out: list[tuple[int,
         else:
             word = text[max(from_, at - 40) : at].rsplit(None, 1)
             word = word[-1].lstrip("([„“«»\"'‚") if word else ""
+            if word == "V" and text[at - 4 : at - 1] in ("e. ", "e.\n", "e.\u00a0"):
+                word = "e.V"
         core = mark.rstrip(_SPACED)
         if core == "." and (not word or not gap and word.lower() in ("www", "http", "https")):
             continue
