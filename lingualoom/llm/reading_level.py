@@ -176,6 +176,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, st
 
 def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
     sentences, owner, chars, closed, alike = [], [], [], [], []
+    wordless = np.zeros(len(texts))
     for k, text in enumerate(texts):
         if text:
             for a, b in units(text):
@@ -186,6 +187,8 @@ def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
                     chars.append(b - a)
                     closed.append(is_closed(unit))
                     alike.append(closed[-1] or may_be_sentence(unit))
+                else:
+                    wordless[k] += b - a
     n = len(texts)
     scores, known, words = models.score(sentences)
     out = {"level": [None] * n, "language": [None] * n, "sentences": [0] * n, "simple": [0] * n, "prose": [0.0] * n}
@@ -201,7 +204,7 @@ def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
     counted = (known >= KNOWN) & (words >= 3) & ~shared & (ends | lost[owners] & (kind != ITEM) & np.array(alike))
     levels = own[:, : len(LEVELS)]
     top = levels.argmax(axis=1)
-    total = np.bincount(owners[~shared], size[~shared], n)
+    total = np.bincount(owners[~shared], size[~shared], n) + wordless
     good = np.bincount(owners[counted], size[counted], n)
     number = np.bincount(owners[counted], minlength=n)
     simple = np.bincount(owners[counted & (top == 0)], minlength=n)
