@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def materialised(sql: str) -> str:
+    """``sql`` with every common table expression computed once, in the order written, instead of merged into what uses it."""
+    return sql if "RECURSIVE" in sql else re.sub(r"(\b\w+) AS \((?=SELECT|UNPIVOT)", r"\1 AS MATERIALIZED (", sql)
+
+
 class Registry:
     """Queries by name in order of registration, with SQL where SQL can say the same."""
 
@@ -22,7 +28,7 @@ class Registry:
                 raise ValueError(f"query {name} is there already")
             self.queries[name] = query
             if sql is not None:
-                self.oracles[name] = sql
+                self.oracles[name] = materialised(sql)
             return query
 
         return keep
