@@ -87,11 +87,18 @@ def words(text: Column, options: Preprocessing, stopwords: tuple[str, ...] = STO
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Sliding n-grams of characters; none if the text is shorter than n."""
-    places = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.transform(places, lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _slide(F.split(text, ""), n, "")
 
 
 def token_ngrams(words_: Column, n: int) -> Column:
-    """Sliding n-grams of tokens, joined by blanks."""
-    places = F.sequence(F.lit(1), F.size(words_) - (n - 1))
-    return F.when(F.size(words_) >= n, F.transform(places, lambda k: F.array_join(F.slice(words_, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Sliding n-grams of tokens, joined by blanks; none if there are fewer than n."""
+    return _slide(words_, n, " ")
+
+
+def _slide(parts: Column, n: int, glue: str) -> Column:
+    # Shifted copies are zipped, so that no lambda looks into the whole array: what a lambda
+    # takes from outside is computed anew for each element.
+    out = parts
+    for d in range(1, n):
+        out = F.zip_with(out, F.slice(parts, d + 1, F.size(parts)), lambda x, y: F.concat(x, F.lit(glue), y))
+    return F.slice(out, 1, F.greatest(F.size(parts) - (n - 1), F.lit(0)))

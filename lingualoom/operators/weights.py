@@ -28,8 +28,8 @@ def word_tf(tokens: DataFrame) -> DataFrame:
 
 def ngram_tf(tokens: DataFrame, n: int = 4) -> DataFrame:
     """(fname, term, tf): share of each character n-gram in its file; n-grams run across the ends of sentences."""
-    texts = joined_text(tokens)
-    grams = texts.select("fname", (F.length("text") - (n - 1)).alias("total"), F.explode(X.char_ngrams(F.col("text"), n)).alias("term"))
+    texts = joined_text(tokens).withColumn("grams", X.char_ngrams(F.col("text"), n))
+    grams = texts.select("fname", F.size("grams").alias("total"), F.explode("grams").alias("term"))
     return grams.groupBy("fname", "term").agg((F.count("*") / F.first("total")).alias("tf"))
 
 

@@ -67,7 +67,7 @@ def paired_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "identical_pairs",
-    f"WITH {X.PAIRS}, {X.SENTS}, {_TEXTS} SELECT count(*) AS found, CAST(count_if(a.text = b.text) AS BIGINT) AS identical FROM pairs p"
+    f"WITH {X.PAIRS}, {X.SENTS}, {_TEXTS} SELECT count(*) AS found, CAST(count(*) FILTER (a.text = b.text) AS BIGINT) AS identical FROM pairs p"
     " JOIN texts a ON a.fname = p.simple JOIN texts b ON b.fname = p.standard",
 )
 def identical_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,7 +248,7 @@ def decimal_keys(spark: SparkSession, folder: str) -> DataFrame:
 @add(
     "judged_progress",
     f"WITH {X.PAIRS}, j AS (SELECT pair_hash, count(*) AS n, count(verdict) AS v FROM judgments GROUP BY pair_hash)"
-    " SELECT p.site, count(*) AS pairs, count(j.pair_hash) AS started, CAST(count_if(j.n = j.v) AS BIGINT) AS finished FROM pairs p LEFT JOIN j USING (pair_hash) GROUP BY p.site",
+    " SELECT p.site, count(*) AS pairs, count(j.pair_hash) AS started, CAST(count(*) FILTER (j.n = j.v) AS BIGINT) AS finished FROM pairs p LEFT JOIN j USING (pair_hash) GROUP BY p.site",
 )
 def judged_progress(spark: SparkSession, folder: str) -> DataFrame:
     """File pairs per site, those with verdicts, and those without open ones."""

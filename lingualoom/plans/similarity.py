@@ -94,14 +94,15 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.sents = X.sents(spark, folder)
-        self.pairs = X.used_pairs(X.pairs(spark, folder), self.sents)
+        # Both are read many times below, so they are written once.
+        self.sents = materialise(X.sents(spark, folder), "sents")
+        self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents), "pairs")
 
     def sim(self, measure: str) -> DataFrame:
         measure = S.ALIASES.get(measure, measure)
         if measure in ("n_gram", "bag_of_words"):
             tokens = X.tokens(self.sents)
-            tf = W.word_tf(tokens) if measure == "bag_of_words" else W.ngram_tf(tokens)
+            tf = materialise(W.word_tf(tokens) if measure == "bag_of_words" else W.ngram_tf(tokens), f"tf_{measure}")
             return S.sparse_similarity(self.pairs, self.sents, tokens, tf, W.idf(tf, catalog.unnested(self.pairs)), measure)
         vectors = table(self.spark, self.folder, "embeddings", "vec_id", "embedding")
         if measure == "sbert":
@@ -260,7 +261,7 @@ def _grid_with_verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
 @add(
     "gt_prf",
     f"{FULL_SQL}, {_TRUTH}, configs AS (SELECT DISTINCT measure, strategy, sd FROM found), size AS (SELECT pair_hash, count(*) AS e FROM truth GROUP BY pair_hash),"
-    " own AS (SELECT f.pair_hash, f.measure, f.strategy, f.sd, count(*) AS a, count_if(f.normal_sent = t.normal_sent) AS c FROM full_ f LEFT JOIN truth t USING (pair_hash, simple_sent) GROUP BY ALL),"
+    " own AS (SELECT f.pair_hash, f.measure, f.strategy, f.sd, count(*) AS a, count(*) FILTER (f.normal_sent = t.normal_sent) AS c FROM full_ f LEFT JOIN truth t USING (pair_hash, simple_sent) GROUP BY ALL),"
     " s AS (SELECT c.measure, c.strategy, c.sd, CASE WHEN o.c > 0 THEN o.c / o.a ELSE 0 END AS p, CASE WHEN o.c > 0 THEN o.c / z.e ELSE 0 END AS r, CASE WHEN o.c > 0 THEN 2 * o.c / (o.a + z.e) ELSE 0 END AS f FROM size z CROSS JOIN configs c LEFT JOIN own o USING (pair_hash, measure, strategy, sd))"
     " SELECT measure, strategy, sd, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1 FROM s GROUP BY measure, strategy, sd",
 )
@@ -273,8 +274,8 @@ def gt_prf(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "judgment_prf",
-    f"{FULL_SQL}, {X.VERDICTS}, pos AS (SELECT pair_hash, count_if(verdict) AS p FROM verdicts GROUP BY pair_hash),"
-    " s AS (SELECT f.pair_hash, f.measure, f.strategy, f.sd, coalesce(count_if(v.verdict) / nullif(count(v.verdict), 0), 0) AS p, coalesce(count_if(v.verdict) / nullif(any_value(pos.p), 0), 0) AS r FROM full_ f JOIN pos USING (pair_hash) LEFT JOIN verdicts v USING (pair_hash, simple_sent, normal_sent) GROUP BY ALL),"
+    f"{FULL_SQL}, {X.VERDICTS}, pos AS (SELECT pair_hash, count(*) FILTER (verdict) AS p FROM verdicts GROUP BY pair_hash),"
+    " s AS (SELECT f.pair_hash, f.measure, f.strategy, f.sd, coalesce(count(*) FILTER (v.verdict) / nullif(count(v.verdict), 0), 0) AS p, coalesce(count(*) FILTER (v.verdict) / nullif(any_value(pos.p), 0), 0) AS r FROM full_ f JOIN pos USING (pair_hash) LEFT JOIN verdicts v USING (pair_hash, simple_sent, normal_sent) GROUP BY ALL),"
     " m AS (SELECT measure, strategy, sd, avg(p) AS p, avg(r) AS r FROM s GROUP BY ALL)"
     " SELECT measure, strategy, sd, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM m",
 )
@@ -286,7 +287,7 @@ def judgment_prf(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "judgment_sims",
-    f"{FULL_SQL}, {X.VERDICTS} SELECT measure, round(avg(sim) FILTER (verdict), 6) AS sim_right, round(avg(sim) FILTER (NOT verdict), 6) AS sim_wrong, CAST(count_if(verdict) AS BIGINT) AS n_right, CAST(count_if(NOT verdict) AS BIGINT) AS n_wrong FROM full_ JOIN verdicts USING (pair_hash, simple_sent, normal_sent) WHERE verdict IS NOT NULL GROUP BY measure",
+    f"{FULL_SQL}, {X.VERDICTS} SELECT measure, round(avg(sim) FILTER (verdict), 6) AS sim_right, round(avg(sim) FILTER (NOT verdict), 6) AS sim_wrong, CAST(count(*) FILTER (verdict) AS BIGINT) AS n_right, CAST(count(*) FILTER (NOT verdict) AS BIGINT) AS n_wrong FROM full_ JOIN verdicts USING (pair_hash, simple_sent, normal_sent) WHERE verdict IS NOT NULL GROUP BY measure",
 )
 def judgment_sims(spark: SparkSession, folder: str) -> DataFrame:
     """Mean similarity of right and of wrong matches."""
@@ -314,7 +315,7 @@ def precision_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return E.strategy_pivot(_by_site(spark, folder), ["max"])
 
 
-@add("positive_verdicts", f"WITH {X.VERDICTS} SELECT pair_hash, CAST(count_if(verdict) AS BIGINT) AS positive FROM verdicts GROUP BY pair_hash")
+@add("positive_verdicts", f"WITH {X.VERDICTS} SELECT pair_hash, CAST(count(*) FILTER (verdict) AS BIGINT) AS positive FROM verdicts GROUP BY pair_hash")
 def positive_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Right pairs of sentences per file pair."""
     return E.last_verdicts(table(spark, folder, "judgments")).groupBy("pair_hash").agg(F.count_if("verdict").alias("positive"))
