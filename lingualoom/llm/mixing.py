@@ -29,7 +29,7 @@ MAX_TARGETS = 50_000
 
 def with_hash(sizes: DataFrame) -> DataFrame:
     """``sizes`` (doc_id, source, tokens) with ``h``, a hash of the document from 0 to 2^63 - 1."""
-    return sizes.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 1))
+    return sizes.select("doc_id", "source", "tokens").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 1))
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
