@@ -43,30 +43,25 @@ def _reaches(n: Column, documents: Column, share: float, least: int) -> Column:
 
 
 def repeated_occurrences(documents: DataFrame, group: Column, share: float = MIN_SHARE, least: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of lines whose hash reaches the support, documents per group)."""
+    """(per document its lines whose hash reaches the support, each with the line before; documents per group)."""
     docs = _grouped(documents, group)
-    sizes = docs.groupBy("grp").agg(F.count("*").alias("docs"))
+    sizes = materialise(docs.groupBy("grp").agg(F.count("*").alias("docs")), "line_groups")
     hashed = docs.select("grp", F.explode(F.array_distinct(F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("h"))
     counts = hashed.groupBy("grp", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     often = counts.join(bounded_broadcast(sizes, MAX_GROUPS), "grp").filter(_reaches(F.col("n"), F.col("docs"), share, least))
     # One row per group with its few hashes, so that documents are read, not exploded and shuffled, for the join.
     # At most MAX_GROUPS groups are broadcast at once; the arrays are bounded as the head of this module says.
-    often = often.groupBy("grp").agg(F.collect_list("h").alias("hs"))
-    found = docs.join(bounded_broadcast(often, MAX_GROUPS), "grp")
-    lines = F.filter(
-        F.transform(normal_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))),
-        lambda s: (s.line != "") & F.array_contains(F.col("hs"), F.xxhash64(s.line)),
-    )
+    often = materialise(often.groupBy("grp").agg(F.collect_list("h").alias("hs")), "line_hashes")
+    found = docs.join(bounded_broadcast(often, MAX_GROUPS), "grp").select("doc_id", "grp", "hs", normal_lines(F.col("text")).alias("norm"))
+    # Each step below is one pass over a text's lines, however many there are.
+    numbered = F.transform("norm", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    found = found.select("doc_id", "grp", "hs", F.filter(numbered, lambda s: s.line != "").alias("filled"))
+    placed = F.transform("filled", lambda s, k: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), k.alias("k")))
+    found = found.select("doc_id", "grp", F.filter(placed, lambda s: F.array_contains(F.col("hs"), F.xxhash64(s.line))).alias("ls")).filter(F.size("ls") > 0)
     # The line before, among those that are not empty, makes the edge.
-    found = found.select("doc_id", "grp", lines.alias("ls"), F.filter(F.transform(normal_lines(F.col("text")), lambda x, i: F.when(x != "", i + 1)), lambda x: x.isNotNull()).alias("filled"))
-    found = found.select("doc_id", "grp", "filled", F.posexplode("ls").alias("k", "l"), "ls")
-    before = F.when(F.col("k") > 0, F.get("ls", F.col("k") - 1))
-    adjacent = F.array_position("filled", F.col("l.line_no")) == F.array_position("filled", before.line_no) + 1
-    occurrences = found.select(
-        "doc_id", "grp", "l.line_no", "l.line", F.when(adjacent, before.line).alias("line_before"),
-        (F.array_position(F.transform("ls", lambda s: s.line), F.col("l.line")) == F.col("k") + 1).alias("first"),
-    )
-    return occurrences, sizes
+    shifted = F.slice(F.concat(F.array(F.lit(None).cast("struct<line_no: int, line: string, k: int>")), "ls"), 1, F.size("ls"))
+    joined = F.zip_with("ls", shifted, lambda s, p: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), F.when(p.k + 1 == s.k, p.line).alias("before")))
+    return found.select("doc_id", "grp", joined.alias("ls")), sizes
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,11 +86,12 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def boilerplate_blocks(occurrences: DataFrame, sizes: DataFrame, share: float = MIN_SHARE, least: int = MIN_DOCS) -> DataFrame:
     """(grp, line, docs_with, block): the lines of the blocks."""
-    nodes = occurrences.filter("first").groupBy("grp", F.lit(None).cast("string").alias("line_before"), "line").agg(F.count("*").alias("n"))
-    edges = (
-        occurrences.filter(F.col("line_before").isNotNull() & (F.col("line_before") != F.col("line")))
-        .groupBy("grp", "line_before", "line").agg(F.countDistinct("doc_id").alias("n"))
-    )
+    once = lambda x: F.explode(F.array_distinct(x))
+    nodes = occurrences.select("grp", once(F.transform("ls", lambda s: s.line)).alias("line"))
+    nodes = nodes.groupBy("grp", F.lit(None).cast("string").alias("line_before"), "line").agg(F.count("*").alias("n"))
+    pairs = F.filter("ls", lambda s: s.before.isNotNull() & (s.before != s.line))
+    edges = occurrences.select("grp", once(F.transform(pairs, lambda s: F.struct(s.before.alias("line_before"), s.line.alias("line")))).alias("e"))
+    edges = edges.groupBy("grp", "e.line_before", "e.line").agg(F.count("*").alias("n"))
     graph = nodes.unionByName(edges).join(bounded_broadcast(sizes, MAX_GROUPS), "grp").filter(_reaches(F.col("n"), F.col("docs"), share, least))
     return graph.select("grp", "line_before", "line", "n").groupBy("grp").applyInPandas(_components, "grp string, line string, docs_with long, block long")
 
@@ -105,7 +101,8 @@ def repeated_lines(documents: DataFrame, group: Column, share: float = MIN_SHARE
     occurrences, sizes = repeated_occurrences(documents, group, share, least)
     kept = materialise(occurrences, "line_occurrences")
     blocks = materialise(boilerplate_blocks(kept, sizes, share, least), "line_blocks")
-    found = kept.join(bounded_broadcast(blocks, MAX_BLOCK_LINES), ["grp", "line"]).select("doc_id", "line_no", "grp", "block", "line")
+    lines = kept.select("doc_id", "grp", F.explode("ls").alias("l")).select("doc_id", "grp", "l.line_no", "l.line")
+    found = lines.join(bounded_broadcast(blocks, MAX_BLOCK_LINES), ["grp", "line"]).select("doc_id", "line_no", "grp", "block", "line")
     return found, blocks
 
 

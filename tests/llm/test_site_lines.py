@@ -31,7 +31,7 @@ def build():
     for i in range(60):
         lines = [f"Eigener Satz {'x' * i}.", "Stand:  01.0%d.2020" % (i % 9), "NEWSLETTER bestellen\r" if i % 2 else "newsletter bestellen", "", "  "]
         if i % 15 == 0:
-            lines += ["dreimal im Ganzen", "dreimal im Ganzen"]
+            lines = ["dreimal im Ganzen", "dreimal im Ganzen", *lines]
         if i < 2:
             lines.append("nur zweimal")
         rows.append((i, "a", "\n".join(lines), "g", "l"))
