@@ -107,7 +107,7 @@ def _has(*classes: str) -> Column:
 
 
 def site_rules() -> dict[str, SiteRule]:
-    """Rules by kind of markup."""
+    """Rules by kind of markup. Tags, classes and ids by which sites mark an article."""
     tag = lambda *t: F.col("tag").isin(*t)
     return {
         "copy": SiteRule(tag("div") & _has("copy"), tag("h1", "h2", "ul") | (tag("p") & _has("text")) | (tag("p") & (F.size("classes") == 0)), True),

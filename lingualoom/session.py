@@ -55,14 +55,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-_written: dict[str, str] = {}
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; cuts lineage and survives lost executors.
 
-    The table of the same name written before by the same session is dropped first once a new one exists,
-    so repeated calls do not pile up files; all of them go at exit.
+    Every call has a folder of its own, as earlier results may still be read; all of them go at exit.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
