@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,39 @@ COMMON = frozenset(
     " في من على إن أن إلى عن مع هذا هذه التي الذي كان هل منذ قال قبل بعد خلال ما لا".split()
 )
 _WORD = re.compile(r"[^\W_]+")
-_ROW = re.compile(r"://|[|\t{}]|;\S|\S {3,}\S|\d{1,2}:\d\d  ")
+_CELLS = re.compile(r";\S")
+_CLOCK = re.compile(r"\d{1,2}:\d\d  ")
+_CAPITAL = re.compile(r"(?<![^\W_])[^\W_a-zß-öø-ÿа-яё\u0590-\uffff]")
 _ITEM = re.compile(r"\s*(?:[-–—*•·▪►●]|\(?\d{1,3}(?:\.\)|[.)])|\(?[a-z]\))\s")
-_PAIR = re.compile(r"^[^.!?]{2,60}: [\d.,]+ \S+$|,\s*Tel\.|^(?:[^\W\d_][\w-]*, ){3,}[\w-]+,?$")
+_ITEM_STARTS = frozenset("-–—*•·▪►●(0123456789abcdefghijklmnopqrstuvwxyz")
+_ENTRY = re.compile(r"[^.!?]{2,60}: [\d.,]+ \S+$")
+_NAMES = re.compile(r"(?:[^\W\d_][\w-]*, ){3,}[\w-]+,?$")
 _ENDED = re.compile(r"[.!?…。！？।؟][“”»\"')\]」 ]*$")
 #: Scripts without blanks between words: their letters count as words of their own.
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _UNCASED = re.compile("[֐-෿฀-๿぀-ヿ㐀-鿿]")
-_ODD = re.compile(r"(?m)^(?:\d+[a-z]\w*|[a-z]+\d\w*|[bcdfghjklmnpqrstvwxz]{3,}|\w*[ãâÃÂŒ-ž]\w*|\w{30,}|(?:ha|he|la|\w)(?:ha|he|la){4,}\w*)$")
+_ODD = re.compile(r"(?:\d+[a-z]\w*|[a-z]+\d\w*|[bcdfghjklmnpqrstvwxz]{3,}|\w*[ãâÃÂŒ-ž]\w*|\w{30,}|(?:ha|he|la|\w)(?:ha|he|la){4,}\w*)$")
 _CLOSERS = frozenset(".!?…。！？।؟“”»\"')]」")
 _NOISE = re.compile(r"[ÃÂâï¬€Ÿž¤¶§¼½¿‚„]")
 
 
+def _is_row(line: str) -> bool:
+    """Whether a line is a row of cells, an address, code, an entry or an item. Cheap looks come first."""
+    if "|" in line or "\t" in line or "://" in line or "   " in line or "{" in line or "}" in line:
+        return True
+    if line[0] in _ITEM_STARTS and _ITEM.match(line) or ";" in line and _CELLS.search(line):
+        return True
+    if ":" in line and (_ENTRY.match(line) or _CLOCK.search(line)):
+        return True
+    return ", Tel." in line or line.count(", ") > 2 and _NAMES.match(line) is not None
+
+
+@lru_cache(maxsize=200_000)
+def _is_odd(word: str) -> bool:
+    """Whether a word is none that languages have: letters among digits, no vowels, wrong encoding, endless or stuttering."""
+    return _ODD.match(word) is not None
+
+
 _VISIBLE = re.compile(r"[\w\s]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -71,7 +93,8 @@ def statistics(text: str) -> list[float]:
     symbols = sum(1 for c in signs if not "\u0300" <= c <= "\u0e7f") if foreign else len(signs)
     digits = sum(map(len, _DIGITS.findall(text)))
     lowered: list[str] = []
-    lines = total = ended = running = rows = letters = commons = upper = 0
+    upper = len(_CAPITAL.findall(text))
+    lines = total = ended = running = rows = letters = commons = 0
     for raw in text.split("\n"):
         line = raw.strip()
         if not line:
@@ -79,14 +102,12 @@ def statistics(text: str) -> list[float]:
         lines += 1
         size = len(line)
         total += size
-        words = _WORD.findall(line)
-        own = [w.lower() for w in words]
-        lowered += own
+        words = _WORD.findall(line.lower())
+        lowered += words
         letters += sum(map(len, words))
-        common = sum(map(COMMON.__contains__, own))
+        common = sum(map(COMMON.__contains__, words))
         commons += common
-        upper += sum(1 for w in words if not (w[0].islower() or w[0] > "\u0590"))
-        if _ROW.search(line) or _ITEM.match(line) or _PAIR.search(line):
+        if _is_row(line):
             rows += size
             continue
         closed = line[-1] in _CLOSERS and _ENDED.search(line) is not None
@@ -104,7 +125,7 @@ def statistics(text: str) -> list[float]:
         like = dense / 2.5
         return [like, 5.5, symbols / visible, digits / visible, ended * share, 0.3, running * share, rows * share, math.log1p(like / lines), 0.6, 0.0, 1 - upper / count]
     distinct = len(unique) / count * min(1.0, 0.55 + count / 500)
-    odd = len(_ODD.findall("\n".join(unique))) / max(1, len(unique))
+    odd = sum(map(_is_odd, unique)) / max(1, len(unique))
     return [
         float(len(lowered)), min(letters / count, 30.0), symbols / visible, digits / visible, ended * share, commons / count, running * share,
         rows * share, math.log1p(count / lines), distinct, odd, 1 - upper / count,
@@ -196,16 +217,19 @@ class Mixture:
 
     def __init__(self, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray, kinds: list[str]) -> None:
         self.centre, self.scale, self.weights, self.means, self.covariances, self.kinds = centre, scale, weights, means, covariances, kinds
+        # Per component what whitens its values, and its constant, once instead of per batch.
+        factors = np.linalg.cholesky(covariances)
+        self.whiten = np.linalg.inv(factors)
+        self.constant = np.log(weights) - np.log(np.einsum("kii->ki", factors)).sum(axis=1)
 
     def standardised(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.scale, -8.0, 8.0)
 
     def log_joint(self, z: np.ndarray) -> np.ndarray:
         out = np.empty((len(z), len(self.weights)))
-        for k, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances)):
-            factor = np.linalg.cholesky(c)
-            y = np.linalg.solve(factor, (z - m).T)
-            out[:, k] = np.log(w) - 0.5 * (y**2).sum(axis=0) - np.log(np.diag(factor)).sum()
+        for k, (w, m, c) in enumerate(zip(self.whiten, self.means, self.constant)):
+            y = (z - m) @ w.T
+            out[:, k] = c - 0.5 * np.einsum("nd,nd->n", y, y)
         return out
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
@@ -217,9 +241,13 @@ class Mixture:
     def moments(self, x: np.ndarray) -> np.ndarray:
         """Per component: sum of responsibilities, of responsible values, of their outer products."""
         r, z = self.responsibilities(x), self.standardised(x)
-        first = r.T @ z
-        second = np.einsum("nk,ni,nj->kij", r, z, z, optimize=True)
-        return np.concatenate([r.sum(axis=0)[:, None], first, second.reshape(len(second), -1)], axis=1)
+        d = z.shape[1]
+        rows, columns = np.triu_indices(d)
+        half = r.T @ (z[:, rows] * z[:, columns])
+        second = np.empty((r.shape[1], d, d))
+        second[:, rows, columns] = half
+        second[:, columns, rows] = half
+        return np.concatenate([r.sum(axis=0)[:, None], r.T @ z, second.reshape(len(second), -1)], axis=1)
 
 
 def start_mixture(centre: np.ndarray, scale: np.ndarray) -> Mixture:
