@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lingualoom.functions.text import split_lines
 
-NODES = "page_id long, node int, parent int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string"
+NODES = "page_id long, node int, parent int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string, parent_tag string, parent_classes array<string>"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that an opening tag of the same kind closes.
 _ALONE = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
@@ -80,6 +80,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows]),
                         pa.array([r[4].get("id") for r in rows], pa.string()), pa.array([r[4].get("class", "").split() for r in rows], pa.list_(pa.string())),
                         pa.array([list(r[4].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array(["".join(r[5]) for r in rows]),
+                        pa.array([rows[r[0]][3] if r[0] >= 0 else None for r in rows], pa.string()), pa.array([rows[r[0]][4].get("class", "").split() if r[0] >= 0 else [] for r in rows], pa.list_(pa.string())),
                     ],
                     names=[f.split()[0] for f in NODES.split(", ")],
                 )
@@ -109,7 +110,18 @@ def _has(*classes: str) -> Column:
 def site_rules() -> dict[str, SiteRule]:
     """Rules by kind of markup. Tags, classes and ids by which sites mark an article."""
     tag = lambda *t: F.col("tag").isin(*t)
+    under = lambda c: F.array_contains("parent_classes", c)
+    main = tag("main") & F.col("id").contains("inhalt") & (F.col("attrs")["role"] == "main")
     return {
+        "detail_page": SiteRule(
+            tag("div") & _has("section", "sectionDetailPage", "cssBoxContent"),
+            (tag("p") & (_has("text") | _has("einleitung"))) | (tag("span") & _has("headline") & (F.col("parent_tag") == "h1")) | (tag("ul") & (F.col("parent_tag") == "div") & under("paragraph")),
+        ),
+        "inner_boxes": SiteRule(
+            tag("div") & _has("artikel_details"),
+            (under("inhalt") & tag("p")) | (tag("ul") & under("paragraph")) | (tag("div") & _has("box_big") & under("inhalt")),
+        ),
+        "accordion": SiteRule(main, tag("p", "h2", "h3", "ul") & (F.col("parent_tag") == "div") & (under("accordionhead") | under("accordionpanel") | under("tinyblock"))),
         "copy": SiteRule(tag("div") & _has("copy"), tag("h1", "h2", "ul") | (tag("p") & _has("text")) | (tag("p") & (F.size("classes") == 0)), True),
         "content": SiteRule(tag("div") & _has("content"), tag("h1", "p", "h2", "ul") & ~_has("autor") & ~_has("bild"), True),
         "details": SiteRule(tag("div") & _has("artikel_details"), tag("h1", "h2", "p", "ul") & ~_has("autor") & ~_has("bild")),
@@ -118,6 +130,20 @@ def site_rules() -> dict[str, SiteRule]:
     }
 
 
+def split_by_colour(table: DataFrame) -> DataFrame:
+    """(page_id, node, easy, text): paragraphs of pages that print both levels in one; red ones are the simple side.
+
+    Fixed values: the blocks' classes and the style of the red. On the standard side a raised dot stands for a hyphen.
+    """
+    blocks = table.filter((F.col("tag") == "section") & _has("textblock", "container")).select("page_id", F.col("node").alias("first"), F.col("last").alias("end"))
+    parts = table.filter(F.col("tag") == "p").join(blocks, "page_id").filter(F.col("node").between(F.col("first") + 1, F.col("end")))
+    red = table.filter((F.col("tag") == "span") & (F.regexp_replace(F.coalesce(F.col("attrs")["style"], F.lit("")), r"\s", "") == "color:#ff0000;"))
+    inside = parts.join(red.select("page_id", F.col("node").alias("span")), "page_id").filter(F.col("span").between(F.col("node") + 1, F.col("last"))).select("page_id", "node").distinct()
+    marked = parts.select("page_id", "node", "text").distinct().join(inside.withColumn("easy", F.lit(True)), ["page_id", "node"], "left")
+    easy = F.coalesce("easy", F.lit(False))
+    return marked.select("page_id", "node", easy.alias("easy"), F.when(easy, F.col("text")).otherwise(F.replace("text", F.lit("·"), F.lit("-"))).alias("text"))
+
+
 def extract(table: DataFrame, rules: dict[str, SiteRule]) -> DataFrame:
     """(page_id, rule, node, tag, text): the parts that the rules keep; pages with none or several blocks of a rule have none by it."""
     out = None

@@ -13,6 +13,15 @@ def token_table(sents: DataFrame, options: X.Preprocessing) -> DataFrame:
     return sents.select("fname", "i", X.words(F.col("sent"), options).alias("words"))
 
 
+def lemmatised(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(fname, i, words) with each word that stands in ``lemmas`` (word, lemma) replaced; sentences without words stay."""
+    long = tokens.select("fname", "i", F.posexplode_outer("words").alias("k", "word"))
+    own = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    done = long.join(own, "word", "left").select("fname", "i", "k", F.coalesce("lemma", "word").alias("w"))
+    words = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("k", "w"))))
+    return done.groupBy("fname", "i").agg(words.alias("x")).select("fname", "i", F.transform("x", lambda s: s.w).alias("words"))
+
+
 def joined_text(tokens: DataFrame) -> DataFrame:
     """(fname, text): all words of a file, sentences joined by a blank."""
     own = F.array_sort(F.collect_list(F.struct("i", F.array_join("words", " ").alias("t"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as T
+from lingualoom.functions import urls
 from lingualoom.operators import align as A
 from lingualoom.operators import catalog
 from lingualoom.operators import evaluate as E
@@ -349,6 +350,25 @@ def matched_skip(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.pairs.join(done.filter(F.col("n") == len(_GRID_MEASURES) * len(CONFIG_SDS)), "pair_hash", "left_anti").select("pair_hash")
 
 
+@add(
+    "matching_header",
+    FULL_SQL + " SELECT simple, list_sort(list(DISTINCT 'results/matched/' || pair_hash || '--' || measure || '--' || strategy || '--' || format('{:.1f}', sd) || '.matches')) AS results FROM full_ GROUP BY simple",
+)
+def matching_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Per simple file the names of all of its result sets."""
+    inputs, found = grid_matches(spark, folder)
+    named = found.select("pair_hash", "measure", "strategy", "sd").distinct().join(inputs.pairs.select("pair_hash", "simple"), "pair_hash")
+    path = urls.matches_path("results/matched", F.col("pair_hash"), F.col("measure"), F.col("strategy"), F.col("sd"))
+    return named.groupBy("simple").agg(F.array_sort(F.collect_set(path)).alias("results"))
+
+
+@add("site_judgments", f"WITH {X.PAIRS} SELECT DISTINCT judgment_id FROM judgments WHERE pair_hash IN (SELECT pair_hash FROM pairs WHERE site = 'www.stadt-lindental.example')")
+def site_judgments(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on file pairs of one site."""
+    own = X.pairs(spark, folder).filter(F.col("site") == "www.stadt-lindental.example").select("pair_hash")
+    return table(spark, folder, "judgments", "judgment_id", "pair_hash").join(own, "pair_hash", "left_semi").select("judgment_id").distinct()
+
+
 @add("aligned_counts", f"{FULL_SQL}, f AS (SELECT site, pair_hash, count(DISTINCT simple_sent) AS s, count(DISTINCT normal_sent) AS n FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5 GROUP BY ALL) SELECT site, CAST(sum(s) AS BIGINT) AS simple_sentences, CAST(sum(n) AS BIGINT) AS standard_sentences FROM f GROUP BY ROLLUP (site)")
 def aligned_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Aligned sentences per site and of all."""

@@ -30,6 +30,18 @@ def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("i", "line"))
 
 
+@add(
+    "lemmatised",
+    f"""WITH {X.SENTS}, {X.tokens_sql()}, lem AS (SELECT lower(de) AS word, min(lower(de_easy)) AS lemma FROM glossary WHERE NOT contains(de, ' ') GROUP BY lower(de))
+SELECT t.fname, t.i, coalesce(list(coalesce(l.lemma, w.word) ORDER BY w.k) FILTER (w.word IS NOT NULL), []) AS words FROM tokens t
+LEFT JOIN (SELECT fname, i, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM tokens) w USING (fname, i) LEFT JOIN lem l ON l.word = w.word GROUP BY t.fname, t.i""",
+)
+def lemmatised(spark: SparkSession, folder: str) -> DataFrame:
+    """Words with those of a table replaced; here it is the glossary, any table of lemmas does."""
+    lemmas = table(spark, folder, "glossary", "de", "de_easy").filter(~F.contains("de", F.lit(" "))).select(F.lower("de").alias("word"), F.lower("de_easy").alias("lemma"))
+    return W.lemmatised(X.tokens(X.sents(spark, folder)), lemmas)
+
+
 _DECORATED = "sent || ' Bürger-Meister Pilot*innen Leser:in Autor_innen BäckerInnen'"
 
 

@@ -70,6 +70,18 @@ def test_nodes_and_rules(spark):
     assert sorted(r.href for r in H.hrefs(pages).filter("page_id = 1").collect()) == ["/n"]
 
 
+def test_rules_by_parents_and_colour(spark):
+    detail = '<div class="section sectionDetailPage cssBoxContent"><h1><span class="headline">Kopf</span></h1><p class="einleitung">A</p><p>no</p><div class="paragraph"><ul><li>L</li></ul></div></div>'
+    fold = '<main id="x-inhalt" role="main"><div class="accordionhead"><h2>H</h2></div><div class="tinyblock"><p>P</p></div><p>no</p></main>'
+    two = '<section class="textblock container"><p>Normal·wort</p><p><span style="color: #ff0000;">Ein·fach</span></p></section>'
+    nodes = H.nodes(spark.createDataFrame([(1, detail), (2, fold), (3, two)], "page_id long, html string"))
+    rules = H.site_rules()
+    got = lambda r: [x.text for x in H.extract(nodes, {r: rules[r]}).orderBy("node").collect()]
+    assert got("detail_page") == ["Kopf", "A", "L"]
+    assert got("accordion") == ["H", "P"]
+    assert [(r.easy, r.text) for r in H.split_by_colour(nodes).orderBy("node").collect()] == [(False, "Normal-wort"), (True, "Ein·fach")]
+
+
 def test_header_json(spark, tmp_path):
     (tmp_path / "www.a").mkdir()
     (tmp_path / "www.a" / "archive_header.json").write_text(json.dumps({"x.html": {"url": "u", "crawl_date": "2022-01-29", "easy": True, "publication_date": None, "matching_files": ["y.html"]}}))
