@@ -42,12 +42,15 @@ OPEN = 0.3
 LIX = (38.0, 66.0)
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_DIGIT = re.compile(r"\d")
 _SHARED = 3
 
 
 def tokens(sentence: str) -> list[str]:
     """Lower-case words, numbers as one token each, and the sentence's length in steps."""
-    words = ["#" if w.isdigit() else w for w in _TOKEN.findall(sentence.replace("·", "").replace("­", "").lower())]
+    words = _TOKEN.findall(sentence.replace("·", "").replace("­", "").lower())
+    if _DIGIT.search(sentence):
+        words = ["#" if w.isdigit() else w for w in words]
     return [*words, f"<{min(12, math.isqrt(2 * len(words)))}>"] if words else []
 
 
@@ -178,17 +181,22 @@ def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
     sentences, owner, chars, closed, alike = [], [], [], [], []
     wordless = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        if text:
-            for a, b in units(text):
-                unit = text[a:b]
-                if t := tokens(unit):
-                    sentences.append(t)
-                    owner.append(k)
-                    chars.append(b - a)
-                    closed.append(is_closed(unit))
-                    alike.append(closed[-1] or may_be_sentence(unit))
-                else:
-                    wordless[k] += b - a
+        if not text:
+            continue
+        found = []
+        for a, b in units(text):
+            unit = text[a:b]
+            if t := tokens(unit):
+                sentences.append(t)
+                found.append(unit)
+                owner.append(k)
+                chars.append(b - a)
+            else:
+                wordless[k] += b - a
+        ends = [is_closed(u) for u in found]
+        closed += ends
+        # Only a document that may have lost its marks needs a look at what has none.
+        alike += [e or may_be_sentence(u) for u, e in zip(found, ends)] if sum(ends) * 10 < 7 * len(ends) else ends
     n = len(texts)
     scores, known, words = models.score(sentences)
     out = {"level": [None] * n, "language": [None] * n, "sentences": [0] * n, "simple": [0] * n, "prose": [0.0] * n}
