@@ -31,19 +31,24 @@ def grid(pairs: DataFrame, sents: DataFrame) -> DataFrame:
 
 
 def sparse_similarity(pairs: DataFrame, sents: DataFrame, tokens: DataFrame, tf: DataFrame, idf: DataFrame, measure: str) -> DataFrame:
-    """Cosine of tf-idf vectors; cells without a common term are 0."""
+    """Cosine of tf-idf vectors; cells without a common term are 0.
+
+    Shared terms are counted per pair by ``pid``, a short number of the pair if ``pairs`` has one, else by its key.
+    """
+    pid = "pid" if "pid" in pairs.columns else "pair_hash"
     weighted = W.sentence_terms(tokens, measure).join(W.weights(tf, idf), ["fname", "term"]).select("fname", "i", "term", (F.col("c") * F.col("w")).alias("v"))
     norms = weighted.groupBy("fname", "i").agg(F.sum(F.col("v") * F.col("v")).alias("q"))
-    keyed = pairs.select("pair_hash", "simple", "standard")
-    a = keyed.join(weighted, F.col("simple") == F.col("fname")).select("pair_hash", "term", "i", F.col("v").alias("x"))
-    b = keyed.join(weighted, F.col("standard") == F.col("fname")).select("pair_hash", "term", F.col("i").alias("j"), F.col("v").alias("y"))
-    dots = a.join(b, ["pair_hash", "term"]).groupBy("pair_hash", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    na = keyed.join(norms, F.col("simple") == F.col("fname")).select("pair_hash", "i", F.col("q").alias("qa"))
-    nb = keyed.join(norms, F.col("standard") == F.col("fname")).select("pair_hash", F.col("i").alias("j"), F.col("q").alias("qb"))
-    hit = dots.join(na, ["pair_hash", "i"]).join(nb, ["pair_hash", "j"])
-    hit = hit.select("pair_hash", "i", "j", F.when(F.col("qa") * F.col("qb") > 0, F.col("d") / F.sqrt(F.col("qa") * F.col("qb"))).otherwise(0.0).alias("s"))
-    full = grid(pairs, sents).join(hit, ["pair_hash", "i", "j"], "left")
-    return full.select("pair_hash", "i", "j", F.round(F.coalesce("s", F.lit(0.0)), _ROUND).alias("sim"))
+    keyed = pairs.select(F.col(pid).alias("p"), "simple", "standard")
+    a = keyed.select("p", F.col("simple").alias("fname")).join(weighted, "fname").select("p", "term", "i", F.col("v").alias("x"))
+    b = keyed.select("p", F.col("standard").alias("fname")).join(weighted, "fname").select("p", "term", F.col("i").alias("j"), F.col("v").alias("y"))
+    dots = a.join(b, ["p", "term"]).groupBy("p", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    # Cells are sentences by sentences, so each side's length comes with its sentence and needs no join of its own.
+    left = sents.select(F.col("fname").alias("simple"), "i").join(norms.select(F.col("fname").alias("simple"), "i", F.col("q").alias("qa")), ["simple", "i"], "left")
+    right = sents.select(F.col("fname").alias("standard"), F.col("i").alias("j")).join(norms.select(F.col("fname").alias("standard"), F.col("i").alias("j"), F.col("q").alias("qb")), ["standard", "j"], "left")
+    cells = pairs.select("pair_hash", F.col(pid).alias("p"), "simple", "standard").join(left, "simple").join(right, "standard")
+    full = cells.join(dots, ["p", "i", "j"], "left")
+    norm = F.col("qa") * F.col("qb")
+    return full.select("pair_hash", "i", "j", F.round(F.when(norm > 0, F.coalesce("d", F.lit(0.0)) / F.sqrt(norm)).otherwise(0.0), _ROUND).alias("sim"))
 
 
 def word_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -97,18 +97,18 @@ class Inputs:
         self.spark, self.folder = spark, folder
         # Both are read many times below, so they are written once.
         self.sents = materialise(X.sents(spark, folder), "sents")
-        self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents), "pairs")
+        self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents).withColumn("pid", F.monotonically_increasing_id()), "pairs")
 
     def sim(self, measure: str) -> DataFrame:
         measure = S.ALIASES.get(measure, measure)
         if measure in ("n_gram", "bag_of_words"):
-            tokens = X.tokens(self.sents)
+            tokens = materialise(X.tokens(self.sents), "tokens")
             tf = materialise(W.word_tf(tokens) if measure == "bag_of_words" else W.ngram_tf(tokens), f"tf_{measure}")
             return S.sparse_similarity(self.pairs, self.sents, tokens, tf, W.idf(tf, catalog.unnested(self.pairs)), measure)
         vectors = table(self.spark, self.folder, "embeddings", "vec_id", "embedding")
         if measure == "sbert":
             return S.encoded_similarity(self.pairs, self.sents, vectors)
-        tokens = X.tokens(self.sents, T.EMBEDDING)
+        tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
         vecs = S.word_vectors(tokens, vectors)
         if measure in ("cosine", "average"):
             return S.vector_similarity(self.pairs, self.sents, tokens, vecs, DIMENSIONS, measure)
