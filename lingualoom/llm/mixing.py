@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingualoom.session import bounded_broadcast
+from lingualoom.session import bounded_broadcast, materialise
 
 BITS = 12
 #: Most rows of mixes by sources that are broadcast.
@@ -77,11 +77,12 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     key = plan.select("mix_name", F.col("source"), "rest").withColumn("mix_name", F.coalesce("mix_name", F.lit("\x00")))
     # Level 1: bounded by sources x 2^BITS rows, whatever the number of documents.
     first = docs.groupBy("source", "b1").agg(F.sum("tokens").alias("n"))
-    one = _boundary(key.select("mix_name", "source").join(first, "source"), key, "b1").select("mix_name", "source", "b1", F.col("left").alias("rest"))
+    # Both boundary tables have a row per mix and source; written, they keep the plans of later levels short.
+    one = materialise(_boundary(key.select("mix_name", "source").join(first, "source"), key, "b1").select("mix_name", "source", "b1", F.col("left").alias("rest")), "mix_one")
     # Level 2: only documents of the boundary buckets, about one in 2^BITS.
     inner = docs.join(bounded_broadcast(one.select("mix_name", "source", "b1"), MAX_TARGETS), ["source", "b1"])
     second = inner.groupBy("mix_name", "source", "b2").agg(F.sum("tokens").alias("n"))
-    two = _boundary(second, one.select("mix_name", "source", "rest"), "b2").select("mix_name", "source", "b2", F.col("left").alias("rest"))
+    two = materialise(_boundary(second, one.select("mix_name", "source", "rest"), "b2").select("mix_name", "source", "b2", F.col("left").alias("rest")), "mix_two")
     # Level 3: whole hashes of what is left, about one document in 2^(2 BITS).
     last = docs.join(bounded_broadcast(two.select("mix_name", "source", "b2"), MAX_TARGETS), ["source", "b2"])
     third = last.groupBy("mix_name", "source", "h").agg(F.sum("tokens").alias("n"))

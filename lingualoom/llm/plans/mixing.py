@@ -18,7 +18,7 @@ def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     keyed = docs.selectExpr("struct(doc_id, source) AS key", "text")
     sizes = vocabulary.token_counts(keyed, "key", "text").select("key.doc_id", "key.source", "tokens")
     sizes = materialise(mixing.with_hash(sizes), "mix_sizes")
-    plan = mixing.budgets(sizes, table(spark, folder, "mix_targets"))
+    plan = materialise(mixing.budgets(sizes, table(spark, folder, "mix_targets")), "mix_plan")
     return sizes, materialise(mixing.thresholds(sizes, plan), "mix_ends")
 
 
