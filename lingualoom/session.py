@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once per context, as a zip in the shared folder.
+
+    Where they can import it anyhow this changes nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lingualoom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = f"{shared_folder(spark)}/code/lingualoom-{uuid.uuid4().hex}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    context._lingualoom_shipped = True
+    atexit.register(_remove, spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; cuts lineage and survives lost executors.
 
