@@ -43,7 +43,8 @@ LIX = (38.0, 66.0)
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _DIGIT = re.compile(r"\d")
-_SHARED = 3
+#: A line counts as shared from so many of the labelled documents on, and from this share of them, so that larger samples behave alike.
+_SHARED, _SHARED_PART = 3, 0.005
 
 
 def tokens(sentence: str) -> list[str]:
@@ -121,13 +122,14 @@ def fit(rows: list[tuple[str, str, int]]) -> Models:
         cut = [text[a:b] for a, b in units(text)]
         documents.append((LANGUAGES.index(language), level, cut))
         seen.update({_line_key(u) for u in cut})
+    shared = max(_SHARED, math.ceil(_SHARED_PART * len(documents)))
     sentences, own, at = [], [], []
     for language, level, cut in documents:
         closed = [is_closed(u) for u in cut]
         open_too = sum(closed) < OPEN * len(cut)  # a document that has lost its marks: what is open may be a sentence
         for u, end in zip(cut, closed):
             if t := tokens(u):
-                kind = SHARED if seen[_line_key(u)] >= _SHARED else level - 1 if end else ITEM
+                kind = SHARED if seen[_line_key(u)] >= shared else level - 1 if end else ITEM
                 if kind == ITEM and open_too:
                     continue
                 sentences.append(t)
