@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lingualoom.operators import weights as W
 
 MEASURES = ("n_gram", "bag_of_words", "cosine", "average", "maximum", "bipartite", "cwasa", "sbert")
+#: Those that need the best word per word.
+BY_WORDS = ("maximum", "bipartite", "cwasa")
 #: Names under which measures are known elsewhere.
 ALIASES = {"max_matching": "bipartite", "CWASA": "cwasa"}
 LABELS = {"n_gram": "4-gram", "bag_of_words": "bag of words", "cosine": "cosine", "average": "average", "maximum": "maximum", "bipartite": "bipartite", "cwasa": "CWASA", "sbert": "sbert"}

@@ -94,8 +94,8 @@ def headers_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @add("matches_by_configuration", None)
 def matches_by_configuration(spark: SparkSession, folder: str) -> DataFrame:
     """Matches written in folders by configuration; one configuration read again without reading others."""
-    from lingualoom.plans.similarity import grid_matches
+    from lingualoom.plans.similarity import WHOLE, grid_matches
 
     path = f"{shared_folder(spark)}/matches"
-    S.write_matches(grid_matches(spark, folder)[1], path)
+    S.write_matches(grid_matches(spark, folder, *WHOLE)[1], path)
     return S.read_matches(spark, path, "bag_of_words", "max", 1.5).select("pair_hash", "i", "j", F.round("sim", 6).alias("sim"))

@@ -114,6 +114,18 @@ class Inputs:
             return S.vector_similarity(self.pairs, self.sents, tokens, vecs, DIMENSIONS, measure)
         return S.word_similarities(self.pairs, tokens, vecs).select("pair_hash", "i", "j", F.col(measure).alias("sim"))
 
+    def written(self, measures: tuple[str, ...]) -> dict[str, DataFrame]:
+        """Similarities by measure, each computed once and written; those by best words come from one run of their kernel."""
+        by_words = [m for m in measures if m in S.BY_WORDS]
+        if len(by_words) > 1:
+            tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
+            vecs = S.word_vectors(tokens, table(self.spark, self.folder, "embeddings", "vec_id", "embedding"))
+            all_ = materialise(S.word_similarities(self.pairs, tokens, vecs), "sim_by_words")
+            own = {m: all_.select("pair_hash", "i", "j", F.col(m).alias("sim")) for m in by_words}
+        else:
+            own = {}
+        return {m: own[m] if m in own else materialise(self.sim(m), f"sim_{m}") for m in measures}
+
 
 def _sim(measure: str, spark: SparkSession, folder: str) -> DataFrame:
     return Inputs(spark, folder).sim(measure).withColumn("sim", F.round("sim", 6))
@@ -191,24 +203,28 @@ FULL_SQL = GRID_SQL + ", full_ AS (SELECT f.*, p.site, p.simple, p.standard, a.s
 def grid_matches(spark: SparkSession, folder: str, strategies: tuple[str, ...] = ("max",), measures: tuple[str, ...] = _GRID_MEASURES) -> tuple[Inputs, DataFrame]:
     """Matches of all configurations; each similarity is computed once and written, for all of its configurations."""
     inputs = Inputs(spark, folder)
-    sims = {m: materialise(inputs.sim(m), f"sim_{m}") for m in measures}
-    return inputs, A.all_matches(sims, CONFIG_SDS, strategies)
+    return inputs, A.all_matches(inputs.written(measures), CONFIG_SDS, strategies)
+
+
+#: Strategies and measures of the part of the grid that SQL can say in time, and of the whole one.
+_PART, WHOLE = (("max",), _GRID_MEASURES), (tuple(A.STRATEGIES), S.MEASURES)
 
 
-def _configs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, "max", sd) for m in _GRID_MEASURES for sd in CONFIG_SDS], "measure string, strategy string, sd double")
+def _configs(spark: SparkSession, grid: tuple = _PART) -> DataFrame:
+    strategies, measures = grid
+    return spark.createDataFrame([(m, s, sd) for m in measures for s in strategies for sd in CONFIG_SDS], "measure string, strategy string, sd double")
 
 
 @add("matching_grid", GRID_SQL + " SELECT pair_hash, measure, strategy, sd, i, j, round(sim, 6) AS sim FROM found")
-def matching_grid(spark: SparkSession, folder: str) -> DataFrame:
+def matching_grid(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Matches of several measures at both thresholds."""
-    return grid_matches(spark, folder)[1].withColumn("sim", F.round("sim", 6))
+    return grid_matches(spark, folder, *grid)[1].withColumn("sim", F.round("sim", 6))
 
 
 @add("matching_grid_full")
 def matching_grid_full(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of matches in the full grid: eight measures, two strategies, two thresholds."""
-    _, found = grid_matches(spark, folder, tuple(A.STRATEGIES), S.MEASURES)
+    _, found = grid_matches(spark, folder, *WHOLE)
     return found.groupBy("measure", "strategy", "sd").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
@@ -234,27 +250,27 @@ _STATS = GRID_SQL + ", configs AS (SELECT DISTINCT measure, strategy, sd FROM (V
 
 
 @add("match_stats", _STATS + " SELECT pair_hash, measure, strategy, sd, n, round(mean_sim, 6) AS mean_sim FROM stats")
-def match_stats(spark: SparkSession, folder: str) -> DataFrame:
+def match_stats(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Matches of each pair and configuration."""
-    inputs, found = grid_matches(spark, folder)
-    return E.match_statistics(found, inputs.pairs, _configs(spark)).withColumn("mean_sim", F.round("mean_sim", 6))
+    inputs, found = grid_matches(spark, folder, *grid)
+    return E.match_statistics(found, inputs.pairs, _configs(spark, grid)).withColumn("mean_sim", F.round("mean_sim", 6))
 
 
 @add(
     "match_stats_grouping_sets",
     _STATS + " SELECT measure, strategy, sd, CAST(grouping(measure, strategy, sd) AS BIGINT) AS level, round(avg(n), 6) AS mean_n, round(avg(mean_sim), 6) AS mean_sim, CAST(sum(n) AS BIGINT) AS total_n FROM stats GROUP BY GROUPING SETS ((measure), (strategy), (sd), (measure, strategy, sd))",
 )
-def match_stats_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
+def match_stats_grouping_sets(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """The same by measure, strategy, threshold and all three."""
-    inputs, found = grid_matches(spark, folder)
-    return E.grouped_statistics(E.match_statistics(found, inputs.pairs, _configs(spark)))
+    inputs, found = grid_matches(spark, folder, *grid)
+    return E.grouped_statistics(E.match_statistics(found, inputs.pairs, _configs(spark, grid)))
 
 
 _TRUTH = f"{X.VERDICTS}, truth AS (SELECT pair_hash, simple_sent, max(normal_sent) AS normal_sent FROM verdicts WHERE verdict GROUP BY pair_hash, simple_sent)"
 
 
-def _grid_with_verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    inputs, found = grid_matches(spark, folder)
+def _grid_with_verdicts(spark: SparkSession, folder: str, grid: tuple = _PART) -> tuple[DataFrame, DataFrame]:
+    inputs, found = grid_matches(spark, folder, *grid)
     verdicts = E.last_verdicts(table(spark, folder, "judgments"))
     return A.with_sentences(found, inputs.pairs, inputs.sents), verdicts
 
@@ -266,11 +282,11 @@ def _grid_with_verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
     " s AS (SELECT c.measure, c.strategy, c.sd, CASE WHEN o.c > 0 THEN o.c / o.a ELSE 0 END AS p, CASE WHEN o.c > 0 THEN o.c / z.e ELSE 0 END AS r, CASE WHEN o.c > 0 THEN 2 * o.c / (o.a + z.e) ELSE 0 END AS f FROM size z CROSS JOIN configs c LEFT JOIN own o USING (pair_hash, measure, strategy, sd))"
     " SELECT measure, strategy, sd, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1 FROM s GROUP BY measure, strategy, sd",
 )
-def gt_prf(spark: SparkSession, folder: str) -> DataFrame:
+def gt_prf(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Precision, recall and F1 against pairs that people hold right, averaged over file pairs."""
-    found, verdicts = _grid_with_verdicts(spark, folder)
+    found, verdicts = _grid_with_verdicts(spark, folder, grid)
     truth = verdicts.filter("verdict").groupBy("pair_hash", "simple_sent").agg(F.max("normal_sent").alias("normal_sent"))
-    return E.macro_means(E.precision_recall(found, truth, _configs(spark)))
+    return E.macro_means(E.precision_recall(found, truth, _configs(spark, grid)))
 
 
 @add(
@@ -280,9 +296,9 @@ def gt_prf(spark: SparkSession, folder: str) -> DataFrame:
     " m AS (SELECT measure, strategy, sd, avg(p) AS p, avg(r) AS r FROM s GROUP BY ALL)"
     " SELECT measure, strategy, sd, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM m",
 )
-def judgment_prf(spark: SparkSession, folder: str) -> DataFrame:
+def judgment_prf(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Precision and recall by verdicts; F1 of the means."""
-    found, verdicts = _grid_with_verdicts(spark, folder)
+    found, verdicts = _grid_with_verdicts(spark, folder, grid)
     return E.judged_means(E.judged_scores(found, verdicts))
 
 
@@ -290,30 +306,30 @@ def judgment_prf(spark: SparkSession, folder: str) -> DataFrame:
     "judgment_sims",
     f"{FULL_SQL}, {X.VERDICTS} SELECT measure, round(avg(sim) FILTER (verdict), 6) AS sim_right, round(avg(sim) FILTER (NOT verdict), 6) AS sim_wrong, CAST(count(*) FILTER (verdict) AS BIGINT) AS n_right, CAST(count(*) FILTER (NOT verdict) AS BIGINT) AS n_wrong FROM full_ JOIN verdicts USING (pair_hash, simple_sent, normal_sent) WHERE verdict IS NOT NULL GROUP BY measure",
 )
-def judgment_sims(spark: SparkSession, folder: str) -> DataFrame:
+def judgment_sims(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Mean similarity of right and of wrong matches."""
-    return E.judged_similarities(*_grid_with_verdicts(spark, folder))
+    return E.judged_similarities(*_grid_with_verdicts(spark, folder, grid))
 
 
 _BY_SITE = f"{FULL_SQL}, {X.VERDICTS}, s AS (SELECT f.site, f.measure, f.strategy, f.sd, avg(CAST(coalesce(v.verdict, false) AS INTEGER)) AS precision FROM full_ f LEFT JOIN verdicts v USING (pair_hash, simple_sent, normal_sent) WHERE f.sd = 1.5 AND f.pair_hash IN (SELECT pair_hash FROM verdicts) GROUP BY ALL)"
 
 
-def _by_site(spark: SparkSession, folder: str) -> DataFrame:
-    found, verdicts = _grid_with_verdicts(spark, folder)
+def _by_site(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
+    found, verdicts = _grid_with_verdicts(spark, folder, grid)
     judged = found.filter("sd = 1.5").join(verdicts.select("pair_hash").distinct(), "pair_hash", "left_semi")
     return E.precision_by_site(judged, verdicts)
 
 
 @add("precision_by_site", _BY_SITE + " SELECT site, measure, strategy, round(precision, 6) AS precision FROM s")
-def precision_by_site(spark: SparkSession, folder: str) -> DataFrame:
+def precision_by_site(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Precision per site, a missing verdict being wrong."""
-    return _by_site(spark, folder).withColumn("precision", F.round("precision", 6))
+    return _by_site(spark, folder, grid).withColumn("precision", F.round("precision", 6))
 
 
 @add("precision_pivot", _BY_SITE + " SELECT measure, round(avg(precision) FILTER (strategy = 'max'), 6) AS \"max\" FROM s GROUP BY measure")
-def precision_pivot(spark: SparkSession, folder: str) -> DataFrame:
+def precision_pivot(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Mean precision over sites, strategies as columns."""
-    return E.strategy_pivot(_by_site(spark, folder), ["max"])
+    return E.strategy_pivot(_by_site(spark, folder, grid), list(grid[0]))
 
 
 @add("positive_verdicts", f"WITH {X.VERDICTS} SELECT pair_hash, CAST(count(*) FILTER (verdict) AS BIGINT) AS positive FROM verdicts GROUP BY pair_hash")
@@ -332,9 +348,9 @@ def last_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     "next_unjudged",
     f"{FULL_SQL}, {X.VERDICTS}, fin AS (SELECT pair_hash FROM judgments GROUP BY pair_hash HAVING count(*) = count(verdict) AND count(*) > 12) SELECT DISTINCT pair_hash, simple_sent, normal_sent FROM full_ WHERE sd = 1.5 AND pair_hash NOT IN (SELECT pair_hash FROM fin) AND (pair_hash, simple_sent, normal_sent) NOT IN (SELECT (pair_hash, simple_sent, normal_sent) FROM verdicts)",
 )
-def next_unjudged(spark: SparkSession, folder: str) -> DataFrame:
+def next_unjudged(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Candidates of the stricter threshold that still need a verdict; a file pair counts as finished with more than a dozen verdicts and none open."""
-    found, verdicts = _grid_with_verdicts(spark, folder)
+    found, verdicts = _grid_with_verdicts(spark, folder, grid)
     done = table(spark, folder, "judgments", "pair_hash", "verdict").groupBy("pair_hash").agg(F.count("*").alias("n"), F.count("verdict").alias("v"))
     return E.next_unjudged(found.filter("sd = 1.5"), verdicts, done.filter("n = v AND n > 12"))
 
@@ -343,25 +359,30 @@ def next_unjudged(spark: SparkSession, folder: str) -> DataFrame:
     "matched_skip",
     f"{_STATS}, done AS (SELECT pair_hash FROM stats WHERE n > 0 GROUP BY pair_hash HAVING count(*) = 4) SELECT pair_hash FROM used WHERE pair_hash NOT IN (SELECT pair_hash FROM done)",
 )
-def matched_skip(spark: SparkSession, folder: str) -> DataFrame:
+def matched_skip(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Pairs that lack a result of at least one configuration and have to be matched again."""
-    inputs, found = grid_matches(spark, folder)
+    inputs, found = grid_matches(spark, folder, *grid)
     done = found.select("pair_hash", "measure", "strategy", "sd").distinct().groupBy("pair_hash").agg(F.count("*").alias("n"))
-    return inputs.pairs.join(done.filter(F.col("n") == len(_GRID_MEASURES) * len(CONFIG_SDS)), "pair_hash", "left_anti").select("pair_hash")
+    return inputs.pairs.join(done.filter(F.col("n") == len(grid[0]) * len(grid[1]) * len(CONFIG_SDS)), "pair_hash", "left_anti").select("pair_hash")
 
 
 @add(
     "matching_header",
     FULL_SQL + " SELECT simple, list_sort(list(DISTINCT 'results/matched/' || pair_hash || '--' || measure || '--' || strategy || '--' || format('{:.1f}', sd) || '.matches')) AS results FROM full_ GROUP BY simple",
 )
-def matching_header(spark: SparkSession, folder: str) -> DataFrame:
+def matching_header(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Per simple file the names of all of its result sets."""
-    inputs, found = grid_matches(spark, folder)
+    inputs, found = grid_matches(spark, folder, *grid)
     named = found.select("pair_hash", "measure", "strategy", "sd").distinct().join(inputs.pairs.select("pair_hash", "simple"), "pair_hash")
     path = urls.matches_path("results/matched", F.col("pair_hash"), F.col("measure"), F.col("strategy"), F.col("sd"))
     return named.groupBy("simple").agg(F.array_sort(F.collect_set(path)).alias("results"))
 
 
+# The queries above over the whole grid of 32 configurations.
+for _query in (matching_grid, match_stats, match_stats_grouping_sets, gt_prf, judgment_prf, judgment_sims, precision_by_site, precision_pivot, next_unjudged, matched_skip, matching_header):
+    add(f"{_query.__name__}_whole")(partial(_query, grid=WHOLE))
+
+
 @add("site_judgments", f"WITH {X.PAIRS} SELECT DISTINCT judgment_id FROM judgments WHERE pair_hash IN (SELECT pair_hash FROM pairs WHERE site = 'www.stadt-lindental.example')")
 def site_judgments(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on file pairs of one site."""
