@@ -228,22 +228,27 @@ def matching_grid_full(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("measure", "strategy", "sd").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
+def _exported(spark: SparkSession, folder: str, production: bool) -> tuple[Inputs, DataFrame]:
+    """The matches that are exported: of the configuration that SQL can say, or of the published corpus (maximum, in order, 1.5 deviations)."""
+    inputs = Inputs(spark, folder)
+    return inputs, A.ordered_matches(materialise(inputs.sim("maximum"), "sim_maximum"), 1.5) if production else A.best_matches(inputs.sim("bag_of_words"), 1.5)
+
+
 @add(
     "alignment_export",
     FULL_SQL + " SELECT standard, j, list(struct_pack(simple := simple, i := i, simple_sent := simple_sent, normal_sent := normal_sent, dist := round(sim, 6)) ORDER BY simple, i) AS aligned FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5 GROUP BY standard, j",
 )
-def alignment_export(spark: SparkSession, folder: str) -> DataFrame:
+def alignment_export(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """The exported corpus, nested by standard sentence."""
-    inputs = Inputs(spark, folder)
-    found = A.best_matches(inputs.sim("bag_of_words"), 1.5).withColumn("sim", F.round("sim", 6))
-    return A.export(A.with_sentences(found, inputs.pairs, inputs.sents))
+    inputs, found = _exported(spark, folder, production)
+    return A.export(A.with_sentences(found.withColumn("sim", F.round("sim", 6)), inputs.pairs, inputs.sents))
 
 
 @add("alignment_lines", FULL_SQL + " SELECT pair_hash, i, simple_sent, normal_sent FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5")
-def alignment_lines(spark: SparkSession, folder: str) -> DataFrame:
+def alignment_lines(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """The exported corpus as parallel lines."""
-    inputs = Inputs(spark, folder)
-    return A.with_sentences(A.best_matches(inputs.sim("bag_of_words"), 1.5), inputs.pairs, inputs.sents).select("pair_hash", "i", "simple_sent", "normal_sent")
+    inputs, found = _exported(spark, folder, production)
+    return A.with_sentences(found, inputs.pairs, inputs.sents).select("pair_hash", "i", "simple_sent", "normal_sent")
 
 
 _STATS = GRID_SQL + ", configs AS (SELECT DISTINCT measure, strategy, sd FROM (VALUES ('bag_of_words', 'max', 0.0::DOUBLE), ('bag_of_words', 'max', 1.5::DOUBLE), ('sbert', 'max', 0.0::DOUBLE), ('sbert', 'max', 1.5::DOUBLE)) t(measure, strategy, sd)), stats AS (SELECT u.pair_hash, c.measure, c.strategy, c.sd, count(f.i) AS n, coalesce(avg(f.sim), 0) AS mean_sim FROM used u CROSS JOIN configs c LEFT JOIN found f USING (pair_hash, measure, strategy, sd) GROUP BY ALL)"
@@ -391,10 +396,15 @@ def site_judgments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @add("aligned_counts", f"{FULL_SQL}, f AS (SELECT site, pair_hash, count(DISTINCT simple_sent) AS s, count(DISTINCT normal_sent) AS n FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5 GROUP BY ALL) SELECT site, CAST(sum(s) AS BIGINT) AS simple_sentences, CAST(sum(n) AS BIGINT) AS standard_sentences FROM f GROUP BY ROLLUP (site)")
-def aligned_counts(spark: SparkSession, folder: str) -> DataFrame:
+def aligned_counts(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """Aligned sentences per site and of all."""
-    inputs = Inputs(spark, folder)
-    return E.aligned_counts(A.with_sentences(A.best_matches(inputs.sim("bag_of_words"), 1.5), inputs.pairs, inputs.sents))
+    inputs, found = _exported(spark, folder, production)
+    return E.aligned_counts(A.with_sentences(found, inputs.pairs, inputs.sents))
+
+
+# The same of the published corpus's configuration.
+for _query in (alignment_export, alignment_lines, aligned_counts):
+    add(f"{_query.__name__}_production")(partial(_query, production=True))
 
 
 _LENGTHS = f"""{X.BASE}, {X.tokens_sql()}, sides AS (SELECT DISTINCT simple AS fname, 'simple' AS side, site FROM used UNION SELECT DISTINCT standard, 'standard', site FROM used),

@@ -59,3 +59,13 @@ def test_whole_grid_has_all_configurations(spark, few, want):
     full = {p for p in pairs if sum(k[0] == p for k in counts) == 32}
     assert {r.pair_hash for r in run("matched_skip_whole").collect()} == pairs - full
     assert {"measure", "max", "max_increasing_subsequence"} == set(run("precision_pivot_whole").columns)
+
+
+def test_production_export_is_maximum_in_order(spark, few, want):
+    run = lambda name: entry.queries()[name](spark, few)
+    right = Counter(x[0] for x in want if x[1:4] == ("maximum", "max_increasing_subsequence", 1.5))
+    lines = run("alignment_lines_production").collect()
+    assert right and Counter(r.pair_hash for r in lines) == right
+    assert sum(len(r.aligned) for r in run("alignment_export_production").collect()) == len(lines)
+    total = next(r for r in run("aligned_counts_production").collect() if r.site is None)
+    assert total.simple_sentences == sum(len({r.simple_sent for r in lines if r.pair_hash == p}) for p in right)
