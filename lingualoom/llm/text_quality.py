@@ -45,6 +45,13 @@ COMMON = frozenset(
     " का के की को में है हैं से पर और ने यह कि एक हो नहीं लिए क्या आपको ही भी तक कृपया"
     " في من على إن أن إلى عن مع هذا هذه التي الذي كان هل منذ قال قبل بعد خلال ما لا".split()
 )
+#: The same of languages that are written without blanks.
+COMMON_DENSE = frozenset(
+    "ที่ และ ใน ของ เป็น ได้ ไม่ มี ให้ ว่า จะ กับ จาก ไป มา แต่ ก็ นี้ นั้น หรือ โดย ซึ่ง อยู่ ต้อง คุณ เรา เขา เพื่อ ตั้งแต่ ทุก แก่ ไปยัง ภายใน เมื่อ แล้ว ถ้า คือ ถึง ตาม ด้วย กว่า การ ความ ผู้ อย่าง ยัง เคย ไหม ครับ ค่ะ"
+    " は が を に で と の も へ や から まで より です ます でした ました ません ない した して する いる ある いた など この その あの これ それ ここ ください ため こと もの よう か ね よ"
+    " 的 了 在 是 我 我们 你 你们 您 他 她 它 他们 不 没 没有 有 和 与 就 都 也 很 到 说 要 会 能 可以 这 那 为 被 把 从 对 吗 呢 吧 请 已经 比 每 及 或 但 而 于 之 所以 因为 如果 什么 怎么 将 并 个 年 上 中 下 多 大家 需要".split()
+)
+_COMMON = COMMON | COMMON_DENSE
 _WORD = re.compile(r"[^\W_]+")
 _CELLS = re.compile(r";\S")
 _CLOCK = re.compile(r"\d{1,2}:\d\d  ")
@@ -54,8 +61,15 @@ _ITEM_STARTS = frozenset("-–—*•·▪►●(0123456789abcdefghijklmnopqrstu
 _ENTRY = re.compile(r"[^.!?]{2,60}: [\d.,]+ \S+$")
 _NAMES = re.compile(r"(?:[^\W\d_][\w-]*, ){3,}[\w-]+,?$")
 _ENDED = re.compile(r"[.!?…。！？।؟][“”»\"')\]」 ]*$")
-#: Scripts without blanks between words: their letters count as words of their own.
+#: Letters of scripts without blanks between words.
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
+_FUNCTION = "(?:" + "|".join(sorted(COMMON_DENSE, key=lambda w: (-len(w), w))) + ")(?![ぁぃぅぇぉゃゅょーะ-ฺ็-๎ๅ])"
+#: Words of such scripts: function words; else runs of one script up to the next of these, no longer than words are. Other words as everywhere.
+_PIECE = re.compile(
+    f"{_FUNCTION}|[゠-ヿ]+|(?:(?!{_FUNCTION})[぀-ゟ]){{1,3}}|(?:(?!{_FUNCTION})[㐀-鿿]){{1,2}}"
+    f"|(?:(?!{_FUNCTION})[เ-ไ]?[ก-ฮ][ะ-ฺ็-๎ๅ]*){{1,3}}|[฀-๿]|(?:(?![฀-๿぀-ヿ㐀-鿿])[^\\W_])+"
+)
+_ODD_PIECE = re.compile(r"[㐀-䶿]|([฀-๿぀-ヿ㐀-鿿])\1{2}|[ぁぃぅぇぉゃゅょー]|[ะ-ฺ็-๎ๅเ-ไ](?:$|[ะ-ฺ็-๎ๅ])")
 _UNCASED = re.compile("[֐-෿฀-๿぀-ヿ㐀-鿿]")
 _ODD = re.compile(r"(?:\d+[a-z]\w*|[a-z]+\d\w*|[bcdfghjklmnpqrstvwxz]{3,}|\w*[ãâÃÂŒ-ž]\w*|\w{30,}|(?:ha|he|la|\w)(?:ha|he|la){4,}\w*)$")
 _CLOSERS = frozenset(".!?…。！？।؟“”»\"')]」")
@@ -76,7 +90,7 @@ def _is_row(line: str) -> bool:
 @lru_cache(maxsize=200_000)
 def _is_odd(word: str) -> bool:
     """Whether a word is none that languages have: letters among digits, no vowels, wrong encoding, endless or stuttering."""
-    return _ODD.match(word) is not None
+    return _ODD.match(word) is not None or _ODD_PIECE.match(word) is not None
 
 
 _VISIBLE = re.compile(r"[\w\s]+")
@@ -102,28 +116,22 @@ def statistics(text: str) -> list[float]:
         lines += 1
         size = len(line)
         total += size
-        words = _WORD.findall(line.lower())
+        words = (_PIECE if dense and _DENSE.search(line) else _WORD).findall(line.lower())
         lowered += words
         letters += sum(map(len, words))
-        common = sum(map(COMMON.__contains__, words))
+        common = sum(map(_COMMON.__contains__, words))
         commons += common
         if _is_row(line):
             rows += size
             continue
         closed = line[-1] in _CLOSERS and _ENDED.search(line) is not None
         ended += size * closed
-        if dense and _DENSE.search(line):
-            running += size * (len(_DENSE.findall(line)) * 2 > size)
-        elif len(words) >= 3 and common * (6 if closed or size > 55 else 4) >= len(words) and len(_NOISE.findall(line)) * 12 <= size:
+        if len(words) >= 3 and common * (6 if closed or size > 55 else 4) >= len(words) and len(_NOISE.findall(line)) * 12 <= size:
             # Running text has function words; lines of it that are long, or end as sentences do, need fewer.
             running += size
     count = max(1, len(lowered))
     unique = set(lowered)
     share, lines = 1.0 / max(1, total), max(1, lines)
-    if dense * 2 > visible:
-        # As many words as such a text would have, common enough to be read.
-        like = dense / 2.5
-        return [like, 5.5, symbols / visible, digits / visible, ended * share, 0.3, running * share, rows * share, math.log1p(like / lines), 0.6, 0.0, 1 - upper / count]
     distinct = len(unique) / count * min(1.0, 0.55 + count / 500)
     odd = sum(map(_is_odd, unique)) / max(1, len(unique))
     return [
