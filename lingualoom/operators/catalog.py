@@ -96,19 +96,18 @@ def paired_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "simple").join(b, "standard")
 
 
-def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): all that can be reached from ``start`` (node) over ``edges`` (src, dst), a frontier per round.
 
-    Each round shuffles only the new nodes; the reached ones are written, so lineage does not grow.
+    Each round shuffles only the new nodes; the reached ones are written, so lineage does not grow. It ends when none are new.
     """
     edges = materialise(edges.select("src", "dst").distinct(), "closure_edges")
     reached = materialise(start.select("node").distinct(), "closure")
     frontier = reached
-    for _ in range(most_rounds):
+    while True:
         new = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
         new = materialise(new.join(reached, "node", "left_anti"), "closure_new")
         if new.isEmpty():
             return reached
         reached = materialise(reached.unionByName(new), "closure")
         frontier = new
-    raise RuntimeError(f"not closed after {most_rounds} rounds")
