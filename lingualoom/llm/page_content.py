@@ -269,7 +269,7 @@ def features(page: Page) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
             kind = "class=?" if words and all(_DISGUISED.match(w) for w in words) else "class=" + "/".join(words) if words else "class="
             same = "title=none" if not title else "title=same" if _squeezed(text) == title else "title=differs"
             shape = ("tag=" + page.tag[k], kind, "linked" if page.linked[k] else "unlinked", same if page.tag[k] in ("h1", "h2") else "title=", *shape)
-        out.append((shape, tuple("#" if w[0].isdigit() else w for w in _WORDS.findall(text.lower()[:4000]))))
+        out.append((shape, tuple("#" if w[0].isdigit() else w for w in _WORDS.findall(text.lower()))))
     return out
 
 
