@@ -41,6 +41,7 @@ _CLOCK = re.compile(r"(?<![\d.,])(\d{1,2})[:.](\d{2})(?![\d.,]*\d)(?:\s*([ap])\.
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: Words that join what a sentence sums up.
 _AND = frozenset("und and sowie et".split())
+_PART = re.compile(r",?\s(?:und|and|sowie|et)\s|,\s")
 _DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"(?<!\w)[^\W\d_a-zäöüß][^\W\d_]{3,}")
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -100,12 +101,12 @@ class Glossary:
 class Sentence:
     """What is compared of one sentence."""
 
-    __slots__ = ("numbers", "names", "terms", "words")
+    __slots__ = ("numbers", "names", "terms", "words", "low")
 
     def __init__(self, text: str, glossary: Glossary) -> None:
         self.numbers, rest = number_keys(text) if _DIGIT.search(text) else ([], text)
         joined = _INNER.sub("", rest) if "·" in rest or "-" in rest or "­" in rest else rest
-        low = joined.lower()
+        self.low = low = joined.lower()
         # Capitals are names in most languages, and nouns in German: what the other file does not have says little.
         self.names = _NAME.findall(joined)
         self.words = _WORD.findall(low)
@@ -287,10 +288,11 @@ class Scorer:
         return x
 
     def score(self, left: list[Sentence], right: list[Sentence]) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds of all cells, rows that sum up several sentences)."""
+        """(log odds of all cells, per row the number of parts it names if it sums up several sentences, else 0)."""
         x, own = self.first(left, right)
         split = x[:, 0, SPLIT] > 0
-        return self._apply(self.around, self.neighbours(own, split)), split
+        parts = np.array([1 + len(_PART.findall(s.low)) if k else 0 for s, k in zip(left, split)])
+        return self._apply(self.around, self.neighbours(own, split)), parts
 
 
 def fit(judged: list[tuple[list[str], list[str], list[tuple[int, int, bool]]]], glossary: Glossary) -> Scorer:
@@ -365,7 +367,7 @@ def fill_gap(score: np.ndarray, rows: range, first: int, last: int) -> list[tupl
     return out[::-1]
 
 
-def align(score: np.ndarray, split: np.ndarray) -> list[tuple[int, int]]:
+def align(score: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
     """Cells that say the same: chained anchors, filled gaps, sure cells off the chain."""
     m, n = score.shape
     if not m or not n:
@@ -379,10 +381,10 @@ def align(score: np.ndarray, split: np.ndarray) -> list[tuple[int, int]]:
         if i1 - i0 > 1:
             found.update(fill_gap(score, range(i0 + 1, i1), j0, j1))
     found.update((i, j) for i, j, _ in sure)
-    # A sentence that sums up others ("news from A and from B") has one likely partner for either part, wherever these stand.
-    for i in np.flatnonzero(split).tolist():
+    # A sentence that sums up others ("news from A and from B") has one likely partner for each part, wherever these stand.
+    for i in np.flatnonzero(parts).tolist():
         found.difference_update([(i, j) for j in range(n)])
-        found.update((i, j) for j in np.argsort(-score[i], kind="stable")[:2].tolist() if score[i, j] > LIKELY)
+        found.update((i, j) for j in np.argsort(-score[i], kind="stable")[: max(2, int(parts[i]))].tolist() if score[i, j] > LIKELY)
     # A sentence left without a partner may have one out of order.
     lone = set(range(m)).difference(i for i, _ in found)
     found.update((i, int(top[i])) for i in lone if score[i, top[i]] > LIKELY)
