@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,61 +35,67 @@ def best_matches(sim: DataFrame, sd: float, least: float = 0.0) -> DataFrame:
 
 
 def increasing(js: list[int]) -> list[int]:
-    """Positions of a longest non-decreasing subsequence: of the ends of greatest length the first, and before each element the nearest that fits.
+    """Positions of a longest non-decreasing subsequence, in n log n.
 
-    Lengths are found by binary search over the smallest tails, in n log n.
+    Of several longest ones it is that which ends first and whose elements, from the end on, lie nearest before one another.
+    The position with the smallest value among those that end a run of each length is kept while reading, and with it a
+    link to the one before: values of runs of one length fall as they come, so this is the nearest that fits.
     """
-    from bisect import bisect_right
-
-    tails: list[int] = []
-    length = []
-    for j in js:
-        k = bisect_right(tails, j)
-        tails[k : k + 1] = [j]
-        length.append(k + 1)
-    if not js:
-        return []
-    at = length.index(max(length))
-    out, value, need = [], js[at], length[at]
-    for k in range(at, -1, -1):
-        if js[k] <= value and length[k] == need:
-            out.append(k)
-            value, need = js[k], length[k] - 1
-    return out[::-1]
+    ends: list[int] = []
+    values: list[int] = []
+    link: dict[int, int] = {}
+    last = -1
+    for here, value in enumerate(js):
+        size = bisect_right(values, value)
+        link[here] = ends[size - 1] if size else -1
+        if size == len(ends):
+            ends.append(here)
+            values.append(value)
+            last = here
+        else:
+            ends[size], values[size] = here, value
+    path = []
+    while last >= 0:
+        path.append(last)
+        last = link[last]
+    return sorted(path)
+
+
+def _staircase(part: np.ndarray, threshold: float) -> np.ndarray:
+    """Column of each row of a gap, -1 for none: the largest value at or after the column taken before, if it is above the threshold."""
+    taken, edge = np.full(len(part), -1), 0
+    for r, values in enumerate(part):
+        at = edge + int(values[edge:].argmax())
+        if values[at] > threshold:
+            taken[r] = edge = at
+    return taken
 
 
 def ordered_alignment(matrix: np.ndarray, threshold: float, fix_row_index: bool = False) -> list[tuple[int, int]]:
     """Best matches in an order-preserving alignment.
 
-    Matches outside the longest non-decreasing subsequence are looked for again between the columns of their
-    neighbours in it. By default the row that is searched is that of the match's position among all matches, as the
+    The rows' best columns above the threshold are the matches; a longest non-decreasing run of them is fixed. The other
+    matches lie in the gaps before, between and after these; each gap is looked through by itself, within the columns of
+    the fixed matches around it. By default the row that is searched is that of the match's position among all matches, as the
     published results have it; ``fix_row_index`` searches the sentence's own row.
     """
-    m, n = matrix.shape
-    if not m or not n:
+    if not matrix.size:
         return []
-    top = matrix.argmax(axis=1)
-    matches = [(i, int(top[i])) for i in range(m) if matrix[i, top[i]] > threshold]
-    if not matches:
+    peak = matrix.argmax(axis=1)
+    rows = np.flatnonzero(matrix[np.arange(len(matrix)), peak] > threshold)
+    if not len(rows):
         return []
-    kept = increasing([j for _, j in matches])
-    chosen, columns = set(kept), [matches[k][1] for k in kept]
-    first, last, hits, out = 0, columns[0], -1, []
-    for k, (i, j) in enumerate(matches):
-        if k in chosen:
-            out.append((i, j))
-            hits += 1
-            first = columns[hits]
-            last = columns[hits + 1] if hits + 1 < len(columns) else n - 1
-            continue
-        row = matrix[i if fix_row_index else k]
-        part = row[first : last + 1]
-        if len(part):
-            d = int(part.argmax())
-            if part[d] > threshold:
-                out.append((i, first + d))
-                first += d
-    return [(i, j) for i, j in out if matrix[i, j] > threshold]
+    fixed = np.array(increasing(peak[rows].tolist()))
+    columns = peak[rows].copy()
+    others = np.setdiff1d(np.arange(len(rows)), fixed)
+    low, high = np.append(0, columns[fixed]), np.append(columns[fixed], matrix.shape[1] - 1)
+    gap_of = np.searchsorted(fixed, others)
+    for gap in np.unique(gap_of):
+        members = others[gap_of == gap]
+        taken = _staircase(matrix[rows[members] if fix_row_index else members, low[gap] : high[gap] + 1], threshold)
+        columns[members] = np.where(taken < 0, -1, low[gap] + taken)
+    hit = (columns >= 0) & (matrix[rows, columns] > threshold)
+    return list(zip(rows[hit].tolist(), columns[hit].tolist()))
 
 
 def ordered_matches(sim: DataFrame, sd: float, least: float = 0.0, fix_row_index: bool = False) -> DataFrame:
