@@ -5,6 +5,9 @@ an offset of their own are resolved by an as-of join against zone-offset interva
 zone and local year: two intervals that hold the wall time mean it happened twice (the first one counts),
 none means the clocks skipped it (the interval that ended last gives the offset, which moves the time forward
 by the skipped span), one gives the offset directly.
+
+Years: all from 1 to 9999. The first interval of a zone reaches back without end. Rules of zones repeat with the
+calendar, every 400 years, so a year after ``LAST_YEAR`` has the intervals of the same year of the last 400 listed.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import types as T
 
 from lingualoom.session import bounded_broadcast
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years whose intervals are listed: before the first no zone has changed, and the last 400 stand for all later ones.
+FIRST_YEAR, LAST_YEAR = 1800, 2500
 MAX_SITES = 200_000
+_CYCLE_DAYS, _ENDLESS = 146_097, 2**62
 _DAY, _HOUR, _MINUTE, _SECOND = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
 
 #: Offsets in minutes of the zone abbreviations that pages print.
@@ -39,7 +44,7 @@ MONTHS = {
 }
 
 _TIME = r"(\d{1,2})[:.](\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*(?:Uhr|([AaPp])\.?[Mm]\.?))?"
-_ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{2,5}|[A-Z][A-Za-z]+(?:/[A-Za-z_+-]+)+)?(?:\[([^\]]+)\])?"
+_ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{3}\d[A-Z]{3}|[A-Z]{2,5}|[A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)?(?:\[([^\]]+)\])?"
 
 
 def _shape(date: str, gap: str, fields: str, first: int) -> tuple[str, str]:
@@ -91,7 +96,7 @@ def parse_wall_time(df: DataFrame, value: str, day_first: Column) -> DataFrame:
     for name, (pattern, form) in reversed(_SHAPES.items()):
         shaped = F.when(t.rlike(pattern), F.concat(F.lit(name + "|"), F.regexp_replace(t, pattern, form))).otherwise(shaped)
     digits = F.when(t.rlike(r"^\d{14}$"), F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "iso|$1|$2|$3|$4|$5|$6|||Z|"))
-    plain = t.rlike(r"^(\d{9,10}|\d{12,13})$")
+    plain = t.rlike(r"^\d{9,13}$")
     out = out.withColumn("_f", F.when(t.rlike(r"^\d+$"), digits).otherwise(F.split(shaped, "x^").getItem(0)))
     out = out.withColumn("_f", F.split("_f", r"\|", -1))
     f = lambda k: F.col("_f").getItem(k)
@@ -124,13 +129,13 @@ def parse_wall_time(df: DataFrame, value: str, day_first: Column) -> DataFrame:
     signed = c("_z").rlike("^[+-]")
     bare = F.regexp_replace("_z", "[^0-9]", "")
     minutes = sign * (_int(F.substring(bare, 1, 2)) * 60 + F.coalesce(_int(F.substring(bare, 3, 2)), F.lit(0)))
-    named = F.when(c("_z").contains("/"), c("_z")).when((c("_z") == "") & (c("_b") != ""), c("_b"))
+    named = F.when(c("_z").rlike("[/0-9]") & ~signed, c("_z")).when((c("_z") == "") & (c("_b") != ""), c("_b"))
     offset = F.when(signed, minutes).when((c("_z") != "") & named.isNull(), _lookup(ABBREVIATIONS)[c("_z")].cast("long"))
     known = (c("_z") == "") | signed | named.isNotNull() | offset.isNotNull()
     wall = F.when(real & known, wall)
     number = t.try_cast("long")
     return (
-        out.withColumn("epoch_us", F.when(plain, F.when(F.length(t) <= 10, number * 1_000_000).otherwise(number * 1_000)))
+        out.withColumn("epoch_us", F.when(plain, F.when(F.length(t) <= 11, number * 1_000_000).otherwise(number * 1_000)))
         .withColumn("wall_us", wall)
         .withColumn("offset_min", F.when(c("wall_us").isNotNull(), offset))
         .withColumn("zone_name", F.when(c("wall_us").isNotNull() & c("offset_min").isNull(), named))
@@ -173,9 +178,11 @@ def _year_of(us: int) -> int:
 def _zone_rows(zone: str) -> tuple[tuple, ...]:
     by_year: dict[int, list[tuple[int, int, int]]] = {}
     spans = [(a + off, b + off, off) for a, b, off in zone_intervals(zone)]
+    # The first one has no beginning; what it began with stands for all years before.
+    spans[0] = (-_ENDLESS, *spans[0][1:])
     for k, span in enumerate(spans):
         until = max(_year_of(span[1] - 1), _year_of(spans[k + 1][0]) if k + 1 < len(spans) else 0)
-        for year in range(max(FIRST_YEAR, _year_of(span[0])), min(LAST_YEAR, until) + 1):
+        for year in range(FIRST_YEAR if k == 0 else max(FIRST_YEAR, _year_of(span[0])), min(LAST_YEAR, until) + 1):
             by_year.setdefault(year, []).append(span)
     return tuple((zone, year, rows) for year, rows in sorted(by_year.items()))
 
@@ -189,7 +196,8 @@ _INTERVALS = T.StructType([
 def resolve_instants(values: DataFrame, value: str, zone: Column, day_first: Column, out: str = "utc_us") -> DataFrame:
     """``values`` with a column ``out``: the UTC microseconds ``value`` means, null if it means none.
 
-    Defined results: nulls, blanks, words and impossible dates give null; an unknown zone name, or no zone at
+    Defined results: nulls, blanks, words and impossible dates give null; numbers of 9 to 11 digits are seconds, of 12 and 13
+    milliseconds; an unknown zone name, or no zone at
     all where one is needed, gives null; leading and trailing blanks do not count; repeated rows stay repeated;
     an empty table stays empty; other columns are kept, whatever their names.
     """
@@ -200,16 +208,21 @@ def resolve_instants(values: DataFrame, value: str, zone: Column, day_first: Col
     parsed = parsed.withColumn("_tz", F.when(F.col("wall_us").isNotNull() & F.col("offset_min").isNull(), F.coalesce("zone_name", "_site_zone")))
     # Of zone names there are fewer than 700 in all, so what comes to the driver is bounded by the zone database.
     # They are looked for before parsing, which would have to be done twice otherwise.
-    named = kept.select(F.explode(F.array("_site_zone", F.regexp_extract("_value", r"([A-Z][A-Za-z]+(?:/[A-Za-z_+-]+)*)\]?\s*$", 1))).alias("z"))
+    named = kept.select(F.explode(F.array("_site_zone", F.regexp_extract("_value", r"([A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)*|[A-Z]{3}\d[A-Z]{3})\]?\s*$", 1))).alias("z"))
     everything = available_timezones()
     names = sorted(r.z for r in named.filter(F.col("z").isin(*everything)).distinct().collect())
     rows = [r for z in names for r in _zone_rows(z)]
     intervals = F.broadcast(spark.createDataFrame(rows, _INTERVALS))
-    year = F.year(F.timestamp_micros("wall_us"))
-    joined = parsed.withColumn("_year", F.when(F.col("_tz").isNotNull(), year)).join(intervals, (F.col("_tz") == F.col("tz")) & (F.col("_year") == F.col("local_year")), "left")
+    # By the day alone, so that the zone of the session does not matter.
+    year = F.year(F.date_from_unix_date(F.floor(F.col("wall_us") / _DAY).cast("int")))
+    cycles = F.greatest(F.ceil((year - LAST_YEAR) / 400), F.lit(0))
+    parsed = parsed.withColumn("_back", cycles * _CYCLE_DAYS * _DAY)
+    same = F.greatest(year - 400 * cycles, F.lit(FIRST_YEAR)).cast("int")
+    joined = parsed.withColumn("_year", F.when(F.col("_tz").isNotNull(), same)).join(intervals, (F.col("_tz") == F.col("tz")) & (F.col("_year") == F.col("local_year")), "left")
     wall = F.col("wall_us")
-    hits = F.filter("spans", lambda s: (s.a <= wall) & (wall < s.b))
-    ended = F.filter("spans", lambda s: s.b <= wall)
+    listed = wall - F.col("_back")
+    hits = F.filter("spans", lambda s: (s.a <= listed) & (listed < s.b))
+    ended = F.filter("spans", lambda s: s.b <= listed)
     # The first of two hits is the earlier interval; without any, the last that ended.
     span = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))).otherwise(F.get(ended, F.size(ended) - 1))
     instant = F.coalesce("epoch_us", wall - F.col("offset_min") * _MINUTE, wall - span.off)

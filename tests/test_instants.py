@@ -34,6 +34,11 @@ CASES = [
     # Twice, never, at the edges.
     ("2010-10-31 02:30", B, True, us(2010, 10, 31, 2, 30, off=120)), ("2010-03-28 02:30", B, True, us(2010, 3, 28, 2, 30, off=60)),
     ("2010-03-28 03:00", B, True, us(2010, 3, 28, 3, 0, off=120)), ("2010-10-31 03:00", B, True, us(2010, 10, 31, 3, 0, off=60)), ("2010-11-07 01:30", N, True, us(2010, 11, 7, 1, 30, off=-240)),
+    # Centuries away, zones with digits, long epochs.
+    ("2150-05-01 10:00", B, True, us(2150, 5, 1, 10, 0, tz=B)), ("2150-12-01 10:00", B, True, us(2150, 12, 1, 10, 0, tz=B)), ("1890-05-01", B, True, us(1890, 5, 1, tz=B)), ("0001-01-01 12:00", N, True, us(1, 1, 1, 12, tz=N)),
+    ("1066-10-14 09:00", B, True, us(1066, 10, 14, 9, tz=B)), ("9998-07-01 00:00", B, True, us(9998, 7, 1, tz=B)), ("2650-03-27 02:30", B, True, us(2650, 3, 27, 2, 30, tz=B)), ("2501-01-01 00:30", N, True, us(2501, 1, 1, 0, 30, tz=N)),
+    ("2012-07-05 08:09 Etc/GMT+5", B, True, us(2012, 7, 5, 8, 9, off=-300)), ("2012-07-05 08:09[Etc/GMT-14]", B, True, us(2012, 7, 5, 8, 9, off=840)), ("2012-07-05 08:09 EST5EDT", B, True, us(2012, 7, 5, 8, 9, off=-240)),
+    ("12361228410", B, True, 12361228410 * 10**6), ("123612284100", B, True, 123612284100 * 10**3),
     *[(v, B, True, None) for v in ("", "  ", "--", "unbekannt", "2021-13-40", "31.02.2021", "30. Februar 2019", "heute, 25:70 Uhr", "n/a", "1. Quartal", "2015-02-29", "2012-01-05 24:00", "2012-01-05 08:09 XYZ", "20131312024814", None, "x" * 100_000)],
     ("2012-01-05", None, True, None), ("2012-01-05", "Nowhere/Atall", True, None), ("2012-01-05T00:00:00Z", None, True, us(2012, 1, 5)),
 ]
@@ -56,6 +61,15 @@ def test_intervals_agree_with_the_zone_database(zone):
             assert local.utcoffset() == timedelta(microseconds=off)
 
 
+def test_the_zone_of_the_session_does_not_matter(spark):
+    df = spark.createDataFrame([("2012-12-31 23:30", B), ("2012-01-01 00:10", N)], "value string, zone string")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")
+    try:
+        assert [r.utc_us for r in resolve_instants(df, "value", F.col("zone"), F.lit(True)).collect()] == [us(2012, 12, 31, 23, 30, tz=B), us(2012, 1, 1, 0, 10, tz=N)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_header_rows_nulls_duplicates_and_empty_tables(spark):
     sites = spark.createDataFrame([("a", B, "DMY"), ("a", B, "DMY"), ("b", N, "MDY"), ("c", None, None)], "site string, time_zone string, date_order string")
     header = spark.createDataFrame(
