@@ -1,7 +1,5 @@
 """Page content, alignment, reading level and quality: held-out accuracy and defined cases."""
 
-import itertools
-
 import numpy as np
 
 from lingualoom.llm import page_content as P
@@ -63,17 +61,6 @@ def test_numbers_do_not_depend_on_language():
     assert S.number_keys("on 2 November 2015 at 3.00 p.m., 1,433,583 euros, 28.9%")[0] == ["d2015-11-2", "t15:00", "n1433583", "n28.9"]
 
 
-def test_chain_and_gap_against_brute_force():
-    assert S.chain([(0, 3, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 5, 1.0)]) == [(1, 1), (2, 2), (3, 2), (4, 5)]
-    rng = np.random.default_rng(0)
-    for _ in range(30):
-        score = rng.normal(size=(4, 3))
-        got = S.fill_gap(score, range(0, 4), 0, 2)
-        assert [j for _, j in got] == sorted(j for _, j in got) and len({i for i, _ in got}) == len(got)
-        top = max(sum(score[i, j] for i, j in enumerate(c) if j is not None) for c in itertools.product((None, 0, 1, 2), repeat=4) if [j for j in c if j is not None] == sorted(j for j in c if j is not None))
-        assert abs(sum(score[i, j] for i, j in got) - max(top, 0)) < 1e-9
-
-
 def test_alignment_without_verdicts_and_defined_cases(spark):
     header = spark.createDataFrame([(1, "s", True, ["n", "n", None, "s", "gone"], 1, "x"), (2, "s", True, [], 2, "x"), (3, "n", False, ["s"], 1, "x"), (4, "t", None, ["n"], 1, "x"), (5, None, True, ["n"], 1, "x")], "header_id long, fname string, easy boolean, matching_files array<string>, ingested_at long, simple string")
     lines = spark.createDataFrame(
