@@ -9,7 +9,7 @@ Pages whose tags are gone become a tree without branches, each line the child of
 their own.
 
 The potentials are trained on labelled pages: those whose markup is plain enough for the rules of ``ARTICLE_BOXES`` and
-``BOXES`` to name the role of every node, at most ``MAX_PAGES`` of them, of smallest hash. The same pages without their
+``BOXES`` to name the role of every node, among the ``MAX_PAGES`` pages of smallest hash of the key. The same pages without their
 tags train the branchless model. Scoring covers all pages and all of their lines.
 
 Defined results: null, empty and blank pages have no lines; lines with tags only never count; a page without labelled
@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled pages the potentials are trained on.
-MAX_PAGES = 1500
-MAX_VOCABULARY = 20_000
+#: Of so many pages those that the rules can label train the potentials.
+MAX_PAGES = 2500
 
 BOX_ROLES = ("wrap", "nav", "aside", "teaserbox", "cookie", "foot", "comments", "article", "list", "navlist", "errorbox")
 CONTENT_ROLES = ("headline", "subheading", "paragraph", "item")
@@ -291,7 +290,7 @@ class Model:
                 for f in shape:
                     shapes.setdefault(f, np.zeros(n))[r] += 1
                 words.update(set(ws))
-        kept = [w for w, c in words.most_common(MAX_VOCABULARY) if c > 1]
+        kept = sorted(w for w, c in words.items() if c > 1)
         self.word = {w: k for k, w in enumerate(kept)}
         counts = np.zeros((len(kept) + 1, n))
         for found, roles in seen:
@@ -447,12 +446,19 @@ def _judged(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([keys, pa.array([x for f in found for x in f], pa.int32())], names=["key", "line_no"])
 
 
+def _sample(own: DataFrame) -> list[str]:
+    """The plainly marked among the MAX_PAGES pages of smallest hash: keys are chosen first, so that only chosen pages come to the driver."""
+    chosen = own.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(MAX_PAGES)
+    # At most MAX_PAGES keys. A key that stands on several pages counts with one of them.
+    mine = own.join(F.broadcast(chosen), "key", "left_semi")
+    # Disguised names and pages without tags teach nothing.
+    plain = mine.filter(F.col("html").rlike(r"<(main|article|div)[ >]") & ~F.col("html").rlike(r'class="x?[0-9a-f]{5,}"'))
+    return [r.html for r in plain.groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()]
+
+
 def page_content(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """(key, line_no): the lines, counted from 1, that carry each page's own article."""
     own = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("html")).filter(F.col("html").isNotNull())
-    # Plainly marked pages only: disguised names and pages without tags teach nothing.
-    plain = own.filter(F.col("html").rlike(r"<(main|article|div)[ >]") & ~F.col("html").rlike(r'class="x?[0-9a-f]{5,}"'))
-    sample = [r.html for r in plain.select("html", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(MAX_PAGES).select("html").collect()]
-    sent = pages.sparkSession.sparkContext.broadcast(train(sample))
+    sent = pages.sparkSession.sparkContext.broadcast(train(_sample(own)))
     kind = own.dtypes[0][1]
     return own.mapInArrow(lambda it: _judged(it, sent), f"key {kind}, line_no int").withColumnRenamed("key", key)
