@@ -2,9 +2,13 @@
 
 A text is cut into stretches first: a line each, or, where paragraphs are wrapped to a fixed width, all lines of a
 paragraph. Lines that are no running text (list items, table rows, code, noise) are one unit. Of every other stretch
-a semi-Markov dynamic program selects whole spans between the places where a sentence could end: a span is scored by
-its closing word and mark, by the opening word of what follows, by its length and by whether its quotations are
-balanced, all at once. Places that no reading could contradict cut the stretch beforehand.
+a semi-Markov dynamic program selects whole spans between all places where a sentence could end: a span is scored by
+its closing word and mark, by the opening word of what follows and by its length, and its quotations have to be
+balanced: a span that would begin or end within a quotation has no score at all, however long the quotation is. Marks
+without a partner in the stretch bind nothing.
+
+The program is exact and takes linear time: as a length takes away at most one point, the best place before is looked for
+backwards only until none farther off can be better.
 
 Defined results: null, empty and blank texts have no units; positions count code points, the end is exclusive, and
 no unit begins or ends with a blank; a text without any end mark is one unit per line; any length of text is read
@@ -42,9 +46,6 @@ STARTERS = frozenset(
     " au avec ce ces cette dans des elle en et il ils la le les mais nous on où par pour pourquoi quand que qui selon si son sur un une vous"
     " а в во для и как когда к мы на но он она они по с то что это".split()
 )
-#: How many possible ends a span may pass over. A longer run without a sure end is cut at the likeliest places.
-MOST_PASSED = 48
-
 _ENDS = re.compile(
     r"(?:[.!?…]+|[。！？｡।॥؟۔]+)"  # final marks
     r"(?:[\"”“’'»«)\]』」〉》]|[  ]»)*"  # and what closes with them
@@ -109,38 +110,63 @@ def _opening(quote: str, word: str, number_before: bool, gap: bool, quoted: bool
     return 0.5
 
 
-def _balance(text: str, start: int, end: int) -> int:
-    """Marks of quotation in the span that find no partner."""
-    stack: list[str] = []
-    lone = 0
+def _quotations(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(opening, closing) positions of the outermost quotations of the stretch, in order."""
+    stack: list[tuple[str, int]] = []
+    found: list[tuple[int, int]] = []
     for m in _QUOTES.finditer(text, start, end):
-        q = m[0]
-        if stack and q in _CLOSERS.get(stack[-1], ""):
-            stack.pop()
-        elif q in _OPENERS or q in "“\"" or (q == "»" and not stack):
-            stack.append(q)
-        else:
-            lone += 1
-    return lone + len(stack)
+        q, at = m[0], m.start()
+        if q == '"':
+            opens = (at == start or not text[at - 1].isalnum()) and at + 1 < end and not text[at + 1].isspace()
+            closes = at > start and not text[at - 1].isspace()
+            partner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == q), -1) if closes else -1
+            if partner < 0 and opens:
+                stack.append((q, at))
+            if partner < 0:
+                continue
+            del stack[partner + 1 :]
+        elif not (stack and q in _CLOSERS.get(stack[-1][0], "")):
+            if q in _OPENERS or q == "“" or q == "»" and not stack:
+                stack.append((q, at))
+            continue
+        _, opened = stack.pop()
+        while found and found[-1][0] > opened:
+            found.pop()
+        found.append((opened, at))
+    return found
 
 
 def _length_score(chars: int) -> float:
     """Spans of a few letters, or of a thousand, are less likely to be sentences."""
-    return -1.0 if chars < 4 else -0.3 if chars < 12 else 0.0 if chars < 600 else -0.4
-
-
-def _select(text: str, start: int, end: int, places: list[tuple[int, float]], quotes: bool) -> list[int]:
-    """The semi-Markov program: of ``places`` (position, score) those at which a span ends."""
-    n = len(places)
-    at = [start, *(p for p, _ in places), end]
-    gain = [0.0, *(s for _, s in places), 0.0]
-    best, back = [0.0] + [float("-inf")] * (n + 1), [0] * (n + 2)
-    for j in range(1, n + 2):
-        for i in range(max(0, j - MOST_PASSED), j):
-            s = best[i] + gain[j] + _length_score(at[j] - at[i])
-            if s > best[j] and (not quotes or (s := s - 7.0 * _balance(text, at[i], at[j])) > best[j]):
-                best[j], back[j] = s, i
-    cuts, j = [], back[n + 1]
+    return -1.0 if chars < 4 else -0.3 if chars < 12 else 0.0 if chars < _LONG else -0.4
+
+
+_LONG = 600
+
+
+def _select(start: int, end: int, places: list[tuple[int, float]]) -> list[int]:
+    """The semi-Markov program: of ``places`` (position, score) those at which a span ends, so that spans and ends score most."""
+    at, best, back, lead = [start], [0.0], [0], [0]  # lead: of the places so far that with the best score
+    # Without a place two spans are one, which takes away no more than the length of a long one does: a place that costs more is in no best choice.
+    for place, gain in (*(x for x in places if x[1] >= -0.4), (end, 0.0)):
+        # A span ends here and began at an earlier place: at the best one so far, if its length is an ordinary one.
+        source = lead[-1]
+        top = best[source] + _length_score(place - at[source])
+        if top < best[source]:
+            # Else backwards; none is better than the best place before it, nor than that with what a long span loses.
+            i, top = len(at) - 1, -1e18
+            while i >= 0 and top < best[lead[i]]:
+                if place - at[i] >= _LONG:
+                    i = lead[i]
+                value = best[i] + _length_score(place - at[i])
+                if value >= top:
+                    top, source = value, i
+                i = -1 if place - at[i] >= _LONG else i - 1
+        at.append(place)
+        best.append(top + gain)
+        back.append(source)
+        lead.append(len(at) - 1 if best[-1] > best[lead[-1]] else lead[-1])
+    cuts, j = [], back[-1]
     while j:
         cuts.append(at[j])
         j = back[j]
@@ -151,6 +177,14 @@ _ANY_END = re.compile("[.!?…。！？｡।॥؟۔]")
 _SPACED = "\"”“’'»«)]』」〉》 \u00a0\u202f"
 
 
+_TAIL = 48
+
+
+def _word_before(text: str, start: int, at: int) -> str:
+    """The word text[start:at], of a very long one its beginning and its end, which is all that closing words are told by."""
+    return text[start:at] if at - start <= 2 * _TAIL else text[start : start + _TAIL] + text[at - _TAIL : at]
+
+
 def _sentences(text: str, start: int, end: int, thai: bool, out: list[tuple[int, int]]) -> None:
     """Units of the stretch text[start:end] of running text."""
     cuts: list[int] = []
@@ -158,9 +192,10 @@ def _sentences(text: str, start: int, end: int, thai: bool, out: list[tuple[int,
         cuts = [m.start() for m in _THAI_GAP.finditer(text, start, end)]
     stretch = text[start:end]
     cased = not (stretch.islower() or stretch.isupper())
-    has_quotes = _QUOTES.search(stretch) is not None
+    quoted = _quotations(text, start, end) if _QUOTES.search(stretch) is not None else []
+    quote_at = 0
     places: list[tuple[int, float]] = []
-    from_ = start
+    began = seen = start  # where the word at hand began, and up to where blanks were looked for
     for m in _ENDS.finditer(text, start, end):
         stop = m.end()
         if stop >= end:
@@ -169,31 +204,34 @@ def _sentences(text: str, start: int, end: int, thai: bool, out: list[tuple[int,
         gap = following.isspace()
         if mark == "." and not gap and (following.islower() or following.isdigit() or following in "-,;:/)%&=_"):
             continue
-        if at == start or text[at - 1].isspace():
-            word = ""
+        piece = text[seen:at]
+        seen = stop
+        if len(parts := piece.rsplit(None, 1)) > 1 or piece[:1].isspace():
+            began = at - len(parts[-1]) if parts else at
+        if piece[-1:].isspace() or at == start:
+            word, began = "", at
         else:
-            word = text[max(from_, at - 40) : at].rsplit(None, 1)
-            word = word[-1].lstrip("([„“«»\"'‚") if word else ""
+            word = _word_before(text, began, at).lstrip("([„“«»\"'‚")
             if word == "V" and text[at - 4 : at - 1] in ("e. ", "e.\n", "e.\u00a0"):
                 word = "e.V"
         core = mark.rstrip(_SPACED)
+        if core[-1:] in _WIDE:
+            began = stop
         if core == "." and (not word or not gap and word.lower() in ("www", "http", "https")):
             continue
+        while quote_at < len(quoted) and quoted[quote_at][1] < stop:
+            quote_at += 1
+        if quote_at < len(quoted) and quoted[quote_at][0] < stop:
+            continue
         after = _WORD_AFTER.match(text, stop, end)
         quote, following = after[1], after[2] or ""
         if not gap and core == "." and not quote and not following[:1].isalpha():
             continue
         score = _closing(word, core) + _opening(quote, following, word[-1:].isdigit(), gap, len(mark) > len(core), core, cased)
-        if not has_quotes and score >= 2.0:
-            if places:
-                cuts += _select(text, from_, stop, places, False)
-                places = []
-            cuts.append(stop)
-            from_ = stop
-        elif score > -8.0:
+        if score > -8.0:
             places.append((stop, score))
     if places:
-        cuts += _select(text, from_, end, places, has_quotes)
+        cuts += _select(start, end, places)
     if not cuts:
         _add(text, start, end, out)
         return
