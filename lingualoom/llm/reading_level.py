@@ -1,13 +1,14 @@
 """Reading level of documents by smoothed unigram language models.
 
 One model per language and level, with words and the length of the sentence as its events, and two more per language,
-for lines that pages of a site share and for headings, items and rows, which are no sentences. They are fitted on labelled documents, a level being the median of its annotators, or where
-a level has too few of these on documents whose level a readability formula (LIX) seeds. Labels are of whole
-documents, which may mix levels, so a few rounds move sentences to the level that explains them best.
-Every sentence of the corpus then gets its posterior over levels; a document's level is the one of highest
-posterior of all its sentences together.
+for lines that pages of a site share and for headings, items and rows, which are no sentences. They are fitted on
+labelled documents, a level being the median of its annotators, or where a level has too few of these on documents whose
+level a readability formula (LIX) seeds. Labels are of whole documents, which may mix levels, so a few rounds move
+sentences to the level that explains them best. Every sentence of the corpus then gets its posterior over levels; a
+document's level is the one of highest posterior of all its sentences together, with the prior of levels counted once.
 
-Fitting reads at most ``MAX_LABELLED`` labelled documents, those of smallest hash; scoring covers all documents.
+Fitting reads at most ``MAX_LABELLED`` labelled documents, those of smallest hash, and as many more where the formula has
+to seed; scoring covers all documents.
 
 Defined results: null, empty and blank texts, and texts that are no German or English prose, have level null; null or
 impossible labels and labels without a document do not count; a document labelled twice counts once; without any
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from lingualoom.llm.sentence_units import units
 
 LEVELS, LANGUAGES = (1, 2, 3), ("de", "en")
-#: Bounds of what the model is fitted on and of what it may hold.
-MAX_LABELLED, MAX_WORDS, ROUNDS = 4000, 100_000, 4
+#: Most labelled documents the models are fitted on, and rounds of the fit.
+MAX_LABELLED, ROUNDS = 1000, 4
 #: A language's level with fewer labelled documents than this is seeded by the formula.
 MIN_LABELLED = 3
 SMOOTHING, OWN_LEVEL = 0.5, 2.0
@@ -81,7 +82,7 @@ class Models:
         total: Counter[str] = Counter()
         for c in counts:
             total.update(c)
-        kept = [w for w, n in total.most_common(MAX_WORDS) if n > 1]
+        kept = sorted(w for w, n in total.items() if n > 1)
         self.index = {w: k for k, w in enumerate(kept)}
         table = np.array([[c[w] for c in counts] for w in kept] + [[0] * len(counts)], float).reshape(-1, len(counts)) + SMOOTHING
         self.log = np.log(table / table.sum(axis=0))
@@ -89,7 +90,7 @@ class Models:
         self.unknown = len(kept)
 
     def score(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log likelihoods with prior, share of known words, number of words) of every sentence."""
+        """(log likelihoods, share of known words, number of words) of every sentence."""
         sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
         get, none = self.index.get, self.unknown
         ids = np.fromiter((get(w, none) for s in sentences for w in s), np.int64, int(sizes.sum()))
@@ -97,7 +98,7 @@ class Models:
             return np.zeros((0, len(self.prior))), np.zeros(0), np.zeros(0)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         known = np.add.reduceat((ids != none).astype(float), starts)
-        return np.add.reduceat(self.log[ids], starts, axis=0) + self.prior, (known - 1) / np.maximum(sizes - 1, 1), sizes - 1
+        return np.add.reduceat(self.log[ids], starts, axis=0), (known - 1) / np.maximum(sizes - 1, 1), sizes - 1
 
 
 SHARED, ITEM = len(LEVELS), len(LEVELS) + 1
@@ -141,7 +142,7 @@ def fit(rows: list[tuple[str, str, int]]) -> Models:
     free = np.array([not x[1] for x in at], dtype=bool)
     first = np.array(own, dtype=int)
     for _ in range(ROUNDS if len(sentences) else 0):
-        scores, _, _ = models.score(sentences)
+        scores = models.score(sentences)[0] + models.prior
         scores[np.arange(len(first)), first] += OWN_LEVEL
         for k in range(len(LANGUAGES)):
             rows_ = np.flatnonzero(free & (language == k))
@@ -157,19 +158,27 @@ def _count(sentences: list[list[str]], classes: np.ndarray) -> Models:
     return Models(counts, [float((classes == k).sum()) for k in range(len(counts))])
 
 
+def _chosen(own: DataFrame, keys: DataFrame) -> list:
+    """(text, language, level) of the MAX_LABELLED documents of smallest hash in ``keys`` (doc_id, level). Only the texts of these come to the driver."""
+    some = keys.groupBy("doc_id").agg(F.min("level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    # At most MAX_LABELLED keys; of documents that share one a single text counts.
+    return own.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("language").alias("language"), F.min("level").alias("level")).orderBy("doc_id").collect()
+
+
 def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str, int]]:
     """Labelled documents, and for levels that lack them documents seeded by the formula."""
     language = F.lower(F.substring("lang", 1, 2))
     level = labels.filter(F.col("reading_level").isin(*LEVELS)).groupBy(F.col("doc_id").alias("_id")).agg(F.expr("percentile(reading_level, 0.5)").alias("level"))
     own = documents.filter(F.col("text").isNotNull() & language.isin(*LANGUAGES)).select("doc_id", "text", language.alias("language"))
-    order = F.xxhash64("doc_id")
-    labelled = own.join(level, own.doc_id == level._id).orderBy(order, "doc_id").limit(MAX_LABELLED).select("text", "language", "level").collect()
+    keys = documents.select("doc_id", language.alias("language"))
+    wanted = keys.filter(F.col("language").isin(*LANGUAGES)).join(level, F.col("doc_id") == F.col("_id")).select("doc_id", "level")
+    labelled = _chosen(own, wanted)
     rows = [(r.text, r.language, math.floor(r.level)) for r in labelled]
     have = Counter((x[1], x[2]) for x in rows)
     lacking = {(a, b) for a in LANGUAGES for b in LEVELS if have[a, b] < MIN_LABELLED}
     if lacking:
-        some = own.filter(F.col("language").isin(*{a for a, _ in lacking})).orderBy(order, "doc_id").limit(MAX_LABELLED).collect()
-        for r in some:
+        some = keys.filter(F.col("language").isin(*{a for a, _ in lacking})).select("doc_id", F.lit(0).alias("level"))
+        for r in _chosen(own, some):
             found = [t for a, b in units(r.text) if r.text[b - 1] in ".!?" and (t := tokens(r.text[a:b]))]
             if len(found) >= 3:
                 x = lix(found)
@@ -204,7 +213,8 @@ def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
     out = {"level": [None] * n, "language": [None] * n, "sentences": [0] * n, "simple": [0] * n, "prose": [0.0] * n}
     if not sentences:
         return out
-    by_language = scores.reshape(len(sentences), len(LANGUAGES), _WIDE)
+    # What a sentence is by itself has the prior of its class; a document's level counts the prior of levels once.
+    by_language = (scores + models.prior).reshape(len(sentences), len(LANGUAGES), _WIDE)
     best_language = by_language.max(axis=2).argmax(axis=1)
     own = by_language[np.arange(len(sentences)), best_language]
     owners, size, ends, kind = np.array(owner), np.array(chars, float), np.array(closed), own.argmax(axis=1)
@@ -219,8 +229,10 @@ def _summarise(texts: list[str | None], models: Models) -> dict[str, list]:
     number = np.bincount(owners[counted], minlength=n)
     simple = np.bincount(owners[counted & (top == 0)], minlength=n)
     english = np.bincount(owners[counted & (best_language == 1)], minlength=n)
+    prior = models.prior.reshape(len(LANGUAGES), _WIDE)[:, : len(LEVELS)]
     sums = np.zeros((n, len(LEVELS)))
-    np.add.at(sums, owners[counted], levels[counted])
+    np.add.at(sums, owners[counted], levels[counted] - prior[best_language[counted]])
+    sums += prior[(english * 2 > number).astype(int)]
     share = np.divide(good, total, out=np.zeros(n), where=total > 0)
     for k in np.flatnonzero((number > 0) & (share >= PROSE)):
         out["level"][k] = int(LEVELS[sums[k].argmax()])

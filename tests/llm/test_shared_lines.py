@@ -7,7 +7,8 @@ OFTEN, SELDOM = "Lesen Sie mehr auf unserer Seite.", "Gudrun mag ihren gelben Ro
 
 def kinds(n, seldom):
     rows = [(f"{OFTEN}\nHerr Nummer{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} wohnt hier gern.{chr(10) + SELDOM if k < seldom else ''}", "de", 1 + k % 3) for k in range(n)]
-    scores, _, _ = R.fit(rows).score([R.tokens(OFTEN), R.tokens(SELDOM)])
+    models = R.fit(rows)
+    scores = models.score([R.tokens(OFTEN), R.tokens(SELDOM)])[0] + models.prior
     return (scores[:, : R.ITEM].argmax(axis=1) == R.SHARED).tolist()
 
 
