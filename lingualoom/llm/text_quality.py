@@ -3,19 +3,27 @@
 Each text gets a row of statistics. Standardised, they are fitted with a Gaussian mixture by expectation-maximisation
 over all documents: every round sums responsibilities, first and second moments per component in the executors, and
 only these sums, whose size does not depend on the data, come to the driver. Components begin at the statistics of
-inspected examples, written for this purpose, and bear the kind of the examples that they explain best in the end. A document's kind is the one
-with the largest posterior.
-
-Defined results: null, empty and blank texts are of kind ``empty`` and take no part in the fit; texts of any length are
-read whole; repeated documents count each; an empty table gives an empty result; other columns do not matter. With
-fewer documents than components the mixture keeps its beginning.
+inspected examples, written for this purpose; the beginning counts as little as ``HOLD`` documents. Rounds end when the mean
+log likelihood gains less than ``GAIN``, ``ROUNDS`` at most; components that hold next to no documents are dropped. In the end a
+component bears the kind of the examples that it explains best. A document's kind is the one with the largest posterior.
+
+Statistics: ``words`` (runs of letters and digits; in Thai, Japanese and Chinese function words and short runs between them),
+``mean_word_length`` (30 at most), ``symbol_ratio`` and ``digit_ratio`` (of the visible characters), ``ended_share`` (of the
+lines that are not blank, those that end in final punctuation, with or without closing quotes), ``common_share`` (function
+words of the words), ``running_share`` and ``row_share`` (of the letters, those in lines of running text, and in items, rows and
+code), ``line_words`` (logarithm of the mean words of a line), ``distinct_share``, ``odd_share`` (of the different words those that no language has),
+``lower_share``.
+
+Defined results: null, empty and blank texts are of kind ``empty``, have 0 in all statistics and take no part in the fit; texts
+of any length are read whole; repeated documents count each; an empty table gives an empty result; other columns do not
+matter. With fewer documents than components the mixture keeps its beginning.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +33,12 @@ from pyspark.sql import functions as F
 
 from lingualoom.session import materialise
 
-#: Rounds of the fit, what is added to variances (of standardised statistics), and how many documents a component's beginning counts for.
-ROUNDS, RIDGE, HOLD = 8, 0.15, 50.0
+#: Most rounds of the fit, and the gain of the mean log likelihood below which it ends.
+ROUNDS, GAIN = 12, 0.01
+#: What is added to variances (of standardised statistics), and how many documents a component's beginning counts for.
+RIDGE, HOLD = 0.15, 2.0
+#: Components that hold less than this share of the documents, or less than one document, are dropped.
+DEAD = 1e-4
 STATISTICS = (
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_share", "common_share", "running_share",
     "row_share", "line_words", "distinct_share", "odd_share", "lower_share",
@@ -54,7 +66,8 @@ COMMON_DENSE = frozenset(
 _COMMON = COMMON | COMMON_DENSE
 _WORD = re.compile(r"[^\W_]+")
 _CELLS = re.compile(r";\S")
-_CLOCK = re.compile(r"\d{1,2}:\d\d  ")
+_TIMED = re.compile(r"\s*\d{1,2}[:.]\d\d\s")
+_PHONE = re.compile(r"(?<!\w)[0+]\d[\d /()-]{5,}\d\W*$")
 _CAPITAL = re.compile(r"(?<![^\W_])[^\W_a-zß-öø-ÿа-яё\u0590-\uffff]")
 _ITEM = re.compile(r"\s*(?:[-–—*•·▪►●]|\(?\d{1,3}(?:\.\)|[.)])|\(?[a-z]\))\s")
 _ITEM_STARTS = frozenset("-–—*•·▪►●(0123456789abcdefghijklmnopqrstuvwxyz")
@@ -71,7 +84,7 @@ _PIECE = re.compile(
 )
 _ODD_PIECE = re.compile(r"[㐀-䶿]|([฀-๿぀-ヿ㐀-鿿])\1{2}|[ぁぃぅぇぉゃゅょー]|[ะ-ฺ็-๎ๅเ-ไ](?:$|[ะ-ฺ็-๎ๅ])")
 _UNCASED = re.compile("[֐-෿฀-๿぀-ヿ㐀-鿿]")
-_ODD = re.compile(r"(?:\d+[a-z]\w*|[a-z]+\d\w*|[bcdfghjklmnpqrstvwxz]{3,}|\w*[ãâÃÂŒ-ž]\w*|\w{30,}|(?:ha|he|la|\w)(?:ha|he|la){4,}\w*)$")
+_ODD = re.compile(r"(?:\d+[a-z]\w*|[a-z]+\d\w*|[bcdfghjklmnpqrstvwxz]{3,}|\w*[ãâÃÂŒ-ž]\w*|\w{30,}|(\w{1,3})\1{4,}\w{0,2})$")
 _CLOSERS = frozenset(".!?…。！？।؟“”»\"')]」")
 _NOISE = re.compile(r"[ÃÂâï¬€Ÿž¤¶§¼½¿‚„]")
 
@@ -82,9 +95,9 @@ def _is_row(line: str) -> bool:
         return True
     if line[0] in _ITEM_STARTS and _ITEM.match(line) or ";" in line and _CELLS.search(line):
         return True
-    if ":" in line and (_ENTRY.match(line) or _CLOCK.search(line)):
+    if ":" in line and _ENTRY.match(line) or line[0].isdigit() and _TIMED.match(line):
         return True
-    return ", Tel." in line or line.count(", ") > 2 and _NAMES.match(line) is not None
+    return _PHONE.search(line) is not None or line.count(", ") > 2 and _NAMES.match(line) is not None
 
 
 @lru_cache(maxsize=200_000)
@@ -121,11 +134,11 @@ def statistics(text: str) -> list[float]:
         letters += sum(map(len, words))
         common = sum(map(_COMMON.__contains__, words))
         commons += common
+        closed = line[-1] in _CLOSERS and _ENDED.search(line) is not None
+        ended += closed
         if _is_row(line):
             rows += size
             continue
-        closed = line[-1] in _CLOSERS and _ENDED.search(line) is not None
-        ended += size * closed
         if len(words) >= 3 and common * (6 if closed or size > 55 else 4) >= len(words) and len(_NOISE.findall(line)) * 12 <= size:
             # Running text has function words; lines of it that are long, or end as sentences do, need fewer.
             running += size
@@ -135,7 +148,7 @@ def statistics(text: str) -> list[float]:
     distinct = len(unique) / count * min(1.0, 0.55 + count / 500)
     odd = sum(map(_is_odd, unique)) / max(1, len(unique))
     return [
-        float(len(lowered)), min(letters / count, 30.0), symbols / visible, digits / visible, ended * share, commons / count, running * share,
+        float(len(lowered)), min(letters / count, 30.0), symbols / visible, digits / visible, ended / lines, commons / count, running * share,
         rows * share, math.log1p(count / lines), distinct, odd, 1 - upper / count,
     ]
 
@@ -199,11 +212,11 @@ EXAMPLES: list[tuple[str, str]] = [
     ("list", _rows("{0} {1}", 28, ["home help", "bus shelters", "free school meals", "arts grants", "street cleaning services", "debt advice"])),
     ("list", _rows("{0}, {1}, {2}, {3}, {4}, {5}", 8, _PLACES)),
     ("list", _rows("https://www.{0}.example/{1}/{n}", 24, [x.lower() for x in _PLACES])),
-    ("list", _rows("Ida {0}er, Tel. 0{n}1 / 2{n}04", 24, _PLACES)),
+    ("list", _rows("Ida {0}er, {1}, 0{n}1 / 2{n}04", 24, _PLACES)),
     ("list", _rows("{0}: {n}40 Euro", 24, _TERMS)),
     ("list", _STANDARD[:170] + "\n" + _rows("* {0} in {1};", 26, _TERMS + _PLACES)),
     ("list", _rows("{0} | {1} | Suche | {2} | Kontakt | {3}", 7, _TERMS + _PLACES)),
-    ("list", _rows("1{k}:2{k}  {0} – {1}  Linie {n}", 9, _PLACES)),
+    ("list", _rows("1{k}:2{k} {0} – {1} Linie {n}", 9, _PLACES)),
     ("table", _rows("{0}\t{n}\tja\t{n}.1{n}\t{1}", 24, _PLACES)),
     ("table", _rows("| {0} | {n} | k. A. | {n} % |", 24, _PLACES)),
     ("table", _rows("{0};{n};nein;{n},5;{1}", 24, _PLACES)),
@@ -215,8 +228,8 @@ EXAMPLES: list[tuple[str, str]] = [
     ("junk", _rows("Ãbq€zt wÂ„klm xŸrv¬ yÃp¼dh âqžw nÃ½ch{n} fâ¤gk zÃmÂt ¿lr§vs Ãk€px", 14, _PLACES)),
     ("junk", _rows("+~#@}}{{*<$%|^&/=[_]°>\\+~@#*{{}}<|$%&=/^", 20, _PLACES)),
     ("junk", _rows("r1lnt0 wvI fo1mc n0ltvw i1 ufrc0 mnIl tw1v0 oc nrf1l mIwt0 vu", 14, _PLACES)),
-    ("junk", ("kaufen jetzt billig online test " * 40).strip() + "\n" + ("online jetzt test billig kaufen vergleich " * 20).strip()),
-    ("junk", "\n".join(["ha" * 60] * 8)),
+    ("junk", ("radwege stadtfest impfbus lesehilfe " * 40).strip() + "\n" + ("stadtfest fahrplan impfbus radwege " * 20).strip()),
+    ("junk", "\n".join(["tra" * 40] * 8)),
 ]
 
 
@@ -241,21 +254,34 @@ class Mixture:
         return out
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
-        joint = self.log_joint(self.standardised(x))
-        joint -= joint.max(axis=1, keepdims=True)
-        p = np.exp(joint)
-        return p / p.sum(axis=1, keepdims=True)
+        return self._responsible(self.standardised(x))[0]
+
+    def _responsible(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(responsibilities, log likelihoods)."""
+        joint = self.log_joint(z)
+        top = joint.max(axis=1, keepdims=True)
+        p = np.exp(joint - top)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, (top + np.log(total))[:, 0]
 
     def moments(self, x: np.ndarray) -> np.ndarray:
-        """Per component: sum of responsibilities, of responsible values, of their outer products."""
-        r, z = self.responsibilities(x), self.standardised(x)
+        """Per component: sum of responsibilities, of responsible values, of their outer products; and of log likelihoods, in the first one's row."""
+        z = self.standardised(x)
+        r, likelihood = self._responsible(z)
         d = z.shape[1]
         rows, columns = np.triu_indices(d)
         half = r.T @ (z[:, rows] * z[:, columns])
         second = np.empty((r.shape[1], d, d))
         second[:, rows, columns] = half
         second[:, columns, rows] = half
-        return np.concatenate([r.sum(axis=0)[:, None], r.T @ z, second.reshape(len(second), -1)], axis=1)
+        scores = np.zeros((r.shape[1], 1))
+        scores[0] = likelihood.sum()
+        return np.concatenate([r.sum(axis=0)[:, None], r.T @ z, second.reshape(len(second), -1), scores], axis=1)
+
+    def only(self, kept: np.ndarray) -> Mixture:
+        """The mixture of some of its components."""
+        weights = self.weights[kept]
+        return Mixture(self.centre, self.scale, weights / weights.sum(), self.means[kept], self.covariances[kept], [k for k, ok in zip(self.kinds, kept) if ok])
 
 
 def start_mixture(centre: np.ndarray, scale: np.ndarray) -> Mixture:
@@ -268,19 +294,33 @@ def start_mixture(centre: np.ndarray, scale: np.ndarray) -> Mixture:
 
 
 def _next(now: Mixture, begun: Mixture, sums: np.ndarray) -> Mixture:
+    """The mixture after a round; ``begun``: the components as they began, which count as HOLD documents each."""
     d = now.means.shape[1]
-    n = sums[:, 0]
-    # The beginning counts as HOLD documents, so that no component runs away or dies for lack of documents.
-    mass = n + HOLD
+    mass = sums[:, 0] + HOLD
     means = (sums[:, 1 : 1 + d] + HOLD * begun.means) / mass[:, None]
-    second = sums[:, 1 + d :].reshape(-1, d, d) + HOLD * (np.einsum("ki,kj->kij", begun.means, begun.means) + np.eye(d) * 0.25)
+    second = sums[:, 1 + d : -1].reshape(-1, d, d) + HOLD * (np.einsum("ki,kj->kij", begun.means, begun.means) + np.eye(d) * 0.25)
     covariances = second / mass[:, None, None] - np.einsum("ki,kj->kij", means, means) + np.eye(d) * RIDGE
     return Mixture(now.centre, now.scale, mass / mass.sum(), means, covariances, now.kinds)
 
 
+def fitted(begun: Mixture, documents: int, summed: Callable[[Mixture], np.ndarray]) -> tuple[Mixture, list[float]]:
+    """(mixture after the last round, mean log likelihood before each round); ``summed`` gives a mixture's moments over all documents."""
+    mixture, scores = begun, []
+    for _ in range(ROUNDS):
+        sums = summed(mixture)
+        scores.append(float(sums[0, -1]) / documents)
+        alive = sums[:, 0] >= max(1.0, DEAD * documents)
+        if not alive.all():
+            mixture, begun, sums = mixture.only(alive), begun.only(alive), sums[alive]
+        mixture = _next(mixture, begun, sums)
+        if len(scores) > 1 and abs(scores[-1] - scores[-2]) < GAIN:
+            break
+    return mixture, scores
+
+
 def _summed(stats: DataFrame, mixture: Mixture) -> np.ndarray:
     """Moments over all documents; each partition gives one row, and these are added up by Spark."""
-    width = 1 + len(FITTED) + len(FITTED) ** 2
+    width, size = 2 + len(FITTED) + len(FITTED) ** 2, len(mixture.weights)
     sent = stats.sparkSession.sparkContext.broadcast(mixture)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +332,7 @@ def _summed(stats: DataFrame, mixture: Mixture) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
 
     rows = stats.select(*FITTED).mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(EXAMPLES) * width)
+    out = np.zeros(size * width)
     for r in rows:
         out[r.k] = r.v
     return out.reshape(-1, width)
@@ -309,24 +349,24 @@ def fit(stats: DataFrame) -> Mixture:
     # The examples bound the scale below, so that a corpus of one kind is not blown up.
     spread = _many([t for _, t in EXAMPLES])[:, 1:].std(axis=0)
     scale = np.maximum(np.array([row[f"s_{s}"] for s in FITTED], float), 0.4 * spread + 1e-3)
-    begun = mixture = start_mixture(centre, scale)
+    begun = start_mixture(centre, scale)
     if row.n < len(EXAMPLES):
-        return mixture
-    for _ in range(ROUNDS):
-        mixture = _next(mixture, begun, _summed(full, mixture))
-    return mixture
+        return begun
+    return fitted(begun, row.n, lambda mixture: _summed(full, mixture))[0]
 
 
 def component_kinds(mixture: Mixture) -> list[str]:
-    """The kind of each component: that of the examples which it explains best, or its own example's."""
-    r = mixture.responsibilities(_many([t for _, t in EXAMPLES])[:, 1:])
+    """The kind of each component: that of the examples which it explains, by their posteriors, or, of one that explains none, of the example nearest to it."""
+    z = mixture.standardised(_many([t for _, t in EXAMPLES])[:, 1:])
+    r = mixture._responsible(z)[0]
+    near = mixture.log_joint(z)
     kinds = []
     for k in range(r.shape[1]):
         weight: dict[str, float] = {}
         for (kind, _), p in zip(EXAMPLES, r[:, k]):
             weight[kind] = weight.get(kind, 0.0) + p
         best = max(weight, key=lambda x: weight[x])
-        kinds.append(best if weight[best] > 0.5 else mixture.kinds[k])
+        kinds.append(best if weight[best] > 0.5 else EXAMPLES[int(near[:, k].argmax())][0])
     return kinds
 
 
