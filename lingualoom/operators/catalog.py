@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.functions import urls
@@ -96,6 +98,42 @@ def paired_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "simple").join(b, "standard")
 
 
+def smallest_digests(rows: DataFrame, key: str, k: int, digits: int = 3) -> DataFrame:
+    """The ``k`` rows of smallest MD5 of ``key``, without a sort: a threshold is refined, some hexadecimal digits at a time.
+
+    Each round counts only rows that share the digits found so far, in 16 ** ``digits`` classes at most; that many numbers come to
+    the driver. The threshold is final when it parts classes of which the last is taken whole. Equal keys go together: with repeated
+    keys at the threshold there may be more than ``k`` rows.
+    """
+    coded = rows.withColumn("_d", F.md5(key))
+    prefix, left = "", k
+    while left > 0 and len(prefix) < 32:
+        within = coded.filter(F.col("_d").startswith(prefix)) if prefix else coded
+        counts = within.groupBy(F.substring("_d", 1, len(prefix) + digits).alias("p")).agg(F.count("*").alias("n")).collect()
+        threshold = None
+        for p, n in sorted(map(tuple, counts)):
+            if n >= left:
+                threshold = p
+                break
+            left -= n
+        if threshold is None:  # fewer rows than wanted
+            return rows
+        prefix = threshold
+        if n == left:
+            break
+    if left <= 0:
+        return rows.limit(0)
+    return coded.filter(F.substring("_d", 1, len(prefix)) <= prefix).drop("_d")
+
+
+def stored(spark: SparkSession, path: str, draw: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; where there is none yet, that which ``draw`` gives, stored there first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        draw().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): all that can be reached from ``start`` (node) over ``edges`` (src, dst), a frontier per round.
 

@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_statistics(found: DataFrame, pairs: DataFrame, configs: DataFrame) -> DataFrame:
+Config = tuple[str, str, float]
+
+
+def _each_config(rows: DataFrame, configs: list[Config]) -> DataFrame:
+    """Every row once per (measure, strategy, sd), made in place."""
+    listed = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(s).alias("strategy"), F.lit(float(sd)).alias("sd")) for m, s, sd in configs])
+    return rows.select("*", F.explode(listed).alias("_c")).select(*rows.columns, "_c.*")
+
+
+def match_statistics(found: DataFrame, pairs: DataFrame, configs: list[Config]) -> DataFrame:
     """(pair_hash, measure, strategy, sd, n, mean_sim): matches of each pair and configuration, 0 where there are none."""
     own = found.groupBy("pair_hash", "measure", "strategy", "sd").agg(F.count("*").alias("n"), F.avg("sim").alias("m"))
-    whole = pairs.select("pair_hash").join(F.broadcast(configs))
+    whole = _each_config(pairs.select("pair_hash"), configs)
     out = whole.join(own, ["pair_hash", "measure", "strategy", "sd"], "left")
     return out.select("pair_hash", "measure", "strategy", "sd", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0.0)).alias("mean_sim"))
 
@@ -23,7 +32,7 @@ def grouped_statistics(stats: DataFrame) -> DataFrame:
     return out.select("measure", "strategy", "sd", "level", "mean_n", "mean_sim", "total_n")
 
 
-def precision_recall(found: DataFrame, truth: DataFrame, configs: DataFrame) -> DataFrame:
+def precision_recall(found: DataFrame, truth: DataFrame, configs: list[Config]) -> DataFrame:
     """Per pair and configuration against (pair_hash, simple_sent, normal_sent): precision, recall and F1, all 0 without a hit.
 
     Of a simple sentence that stands in the truth twice the last counts, so ``truth`` has it once.
@@ -32,7 +41,7 @@ def precision_recall(found: DataFrame, truth: DataFrame, configs: DataFrame) ->
     size = truth.groupBy("pair_hash").agg(F.count("*").alias("expected"))
     hit = found.join(truth.select("pair_hash", "simple_sent", F.col("normal_sent").alias("right")), ["pair_hash", "simple_sent"], "left")
     own = hit.groupBy(*keys).agg(F.count("*").alias("aligned"), F.count_if(F.col("normal_sent") == F.col("right")).alias("correct"))
-    out = size.join(F.broadcast(configs)).join(own, keys, "left")
+    out = _each_config(size, configs).join(own, keys, "left")
     c, a, e = (F.coalesce(x, F.lit(0)).cast("double") for x in (F.col("correct"), F.col("aligned"), F.col("expected")))
     return out.select(
         *keys, *[F.when(c > 0, x).otherwise(0.0).alias(n) for n, x in (("precision", c / a), ("recall", c / e), ("f1", 2 * c / (a + e)))]

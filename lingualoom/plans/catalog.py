@@ -9,6 +9,7 @@ from lingualoom.functions import urls
 from lingualoom.operators import catalog
 from lingualoom.plans import fixture as X
 from lingualoom.plans.registry import Registry
+from lingualoom.session import materialise, own_folder
 from lingualoom.sources.tables import table
 
 registry = Registry()
@@ -39,10 +40,10 @@ def unnested_articles(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.unnested(X.pairs(spark, folder))
 
 
-@add("website_hashes", f"WITH {X.PAIRS} SELECT site, list_sort(list(pair_hash)) AS hashes FROM pairs GROUP BY site")
+@add("website_hashes", f"WITH {X.PAIRS} SELECT site, pair_hash FROM pairs")
 def website_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of the pairs of each site."""
-    return X.pairs(spark, folder).groupBy("site").agg(F.array_sort(F.collect_list("pair_hash")).alias("hashes"))
+    """Keys of the pairs of each site, a row per key, so that no row grows with a site."""
+    return X.pairs(spark, folder).select("site", "pair_hash")
 
 
 _TEXTS = "texts AS (SELECT fname, string_agg(sent, chr(10) ORDER BY i) AS text FROM sents GROUP BY fname)"
@@ -90,10 +91,17 @@ def sentences_per_site(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sample_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """A twentieth of the pairs, drawn from those that nobody has judged."""
-    pairs = X.pairs(spark, folder)
-    k = -(-pairs.count() // 20)  # a number; the sample itself is a top-k by digest
-    fresh = pairs.join(table(spark, folder, "judgments", "pair_hash"), "pair_hash", "left_anti")
-    return fresh.orderBy(F.md5("pair_hash"), "pair_hash").limit(k).select("pair_hash")
+    pairs = materialise(X.pairs(spark, folder).select("pair_hash"), "all_pairs")
+    fresh = materialise(pairs.join(table(spark, folder, "judgments", "pair_hash"), "pair_hash", "left_anti"), "fresh_pairs")
+    return catalog.smallest_digests(fresh, "pair_hash", -(-pairs.count() // 20))
+
+
+@add("stored_sample", "sample_pairs")
+def stored_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample as stored once and read again: a second draw finds it and draws no other."""
+    path = own_folder(spark, "sample")
+    catalog.stored(spark, path, lambda: sample_pairs(spark, folder))
+    return catalog.stored(spark, path, lambda: X.pairs(spark, folder).select("pair_hash").limit(0))
 
 
 _OWN = r"regexp_replace(url, '^\w+://[\w.-]+/web/\d+/', '')"

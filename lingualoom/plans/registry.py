@@ -23,12 +23,14 @@ class Registry:
         self.oracles: dict[str, str] = {}
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+        """Keep a query; ``sql`` may be the name of an earlier query whose SQL it shares."""
+
         def keep(query: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is there already")
             self.queries[name] = query
             if sql is not None:
-                self.oracles[name] = materialised(sql)
+                self.oracles[name] = self.oracles[sql] if sql in self.oracles else materialised(sql)
             return query
 
         return keep

@@ -210,9 +210,9 @@ def grid_matches(spark: SparkSession, folder: str, strategies: tuple[str, ...] =
 _PART, WHOLE = (("max",), _GRID_MEASURES), (tuple(A.STRATEGIES), S.MEASURES)
 
 
-def _configs(spark: SparkSession, grid: tuple = _PART) -> DataFrame:
+def _configs(grid: tuple = _PART) -> list[E.Config]:
     strategies, measures = grid
-    return spark.createDataFrame([(m, s, sd) for m in measures for s in strategies for sd in CONFIG_SDS], "measure string, strategy string, sd double")
+    return [(m, s, sd) for m in measures for s in strategies for sd in CONFIG_SDS]
 
 
 @add("matching_grid", GRID_SQL + " SELECT pair_hash, measure, strategy, sd, i, j, round(sim, 6) AS sim FROM found")
@@ -258,7 +258,7 @@ _STATS = GRID_SQL + ", configs AS (SELECT DISTINCT measure, strategy, sd FROM (V
 def match_stats(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Matches of each pair and configuration."""
     inputs, found = grid_matches(spark, folder, *grid)
-    return E.match_statistics(found, inputs.pairs, _configs(spark, grid)).withColumn("mean_sim", F.round("mean_sim", 6))
+    return E.match_statistics(found, inputs.pairs, _configs(grid)).withColumn("mean_sim", F.round("mean_sim", 6))
 
 
 @add(
@@ -268,7 +268,7 @@ def match_stats(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFr
 def match_stats_grouping_sets(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """The same by measure, strategy, threshold and all three."""
     inputs, found = grid_matches(spark, folder, *grid)
-    return E.grouped_statistics(E.match_statistics(found, inputs.pairs, _configs(spark, grid)))
+    return E.grouped_statistics(E.match_statistics(found, inputs.pairs, _configs(grid)))
 
 
 _TRUTH = f"{X.VERDICTS}, truth AS (SELECT pair_hash, simple_sent, max(normal_sent) AS normal_sent FROM verdicts WHERE verdict GROUP BY pair_hash, simple_sent)"
@@ -291,7 +291,7 @@ def gt_prf(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Precision, recall and F1 against pairs that people hold right, averaged over file pairs."""
     found, verdicts = _grid_with_verdicts(spark, folder, grid)
     truth = verdicts.filter("verdict").groupBy("pair_hash", "simple_sent").agg(F.max("normal_sent").alias("normal_sent"))
-    return E.macro_means(E.precision_recall(found, truth, _configs(spark, grid)))
+    return E.macro_means(E.precision_recall(found, truth, _configs(grid)))
 
 
 @add(

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -83,18 +83,50 @@ def ship_package(spark: SparkSession) -> None:
     atexit.register(_remove, spark, path)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets; what is written there goes at exit."""
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; cuts lineage and survives lost executors.
 
     Every call has a folder of its own, as earlier results may still be read; all of them go at exit.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint, given only after a count proved at most ``max_rows`` rows; else ``df`` as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Most bytes of a broadcast side.
+MAX_BROADCAST = 64 << 20
+
+
+def _fits(df: DataFrame, max_rows: int, size: Column | None) -> bool:
+    if size is None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return row.n <= max_rows and row.bytes <= MAX_BROADCAST
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, size: Column | None = None) -> DataFrame:
+    """Broadcast hint, given only after a count proved at most ``max_rows`` rows; else ``df`` as it is.
+
+    Rows that hold arrays or long strings need ``size``, their bytes, which are added up and held against ``MAX_BROADCAST``.
+    """
+    return F.broadcast(df) if _fits(df, max_rows, size) else df
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, max_rows: int, size: Column, how: str = "inner", parts: int = 64) -> DataFrame:
+    """``big`` joined with ``small``, which has a row per ``key``: by broadcast if that is small enough, else shuffled with each key of ``big`` spread over ``parts``.
+
+    So a key that holds a third of all rows is no single task, whatever the size of the other side.
+    """
+    if _fits(small, max_rows, size):
+        return big.join(F.broadcast(small), key, how)
+    spread = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int"))
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread.join(copies, [key, "_part"], how).drop("_part")
