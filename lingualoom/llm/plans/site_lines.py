@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualoom.llm import site_lines
+from lingualoom.plans.fixture import FILES
 from lingualoom.plans.registry import Registry
 from lingualoom.sources.tables import table
 
@@ -35,7 +36,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "line_no")
 
 
-@registry.add("p2_blocks")
+_BLOCKS_SQL = rf"""{_FOUND_SQL.replace("WITH lines", "WITH RECURSIVE lines")}, filled AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM keyed WHERE k <> ''),
+kept AS (SELECT f.* FROM filled f JOIN often USING (source, k)),
+edges AS (SELECT e.source, a, b FROM (SELECT x.source, x.k AS a, y.k AS b, count(DISTINCT x.doc_id) AS n FROM kept x JOIN kept y ON y.doc_id = x.doc_id AND y.rn = x.rn + 1 WHERE x.k <> y.k GROUP BY ALL) e
+  JOIN sizes s ON s.source = e.source WHERE e.n >= 3 AND e.n * 20 >= s.docs),
+both_ways AS (SELECT source, a, b FROM edges UNION SELECT source, b, a FROM edges),
+reach AS (SELECT source, k AS a, k AS b FROM often UNION SELECT r.source, r.a, w.b FROM reach r JOIN both_ways w ON w.source = r.source AND w.a = r.b),
+ends AS (SELECT source, a AS line, min(b) AS first FROM reach GROUP BY source, a),
+support AS (SELECT source, k AS line, count(DISTINCT doc_id) AS docs_with FROM keyed GROUP BY source, k)
+SELECT source, line, docs_with, dense_rank() OVER (PARTITION BY source ORDER BY first) - 1 AS block FROM ends JOIN support USING (source, line)"""
+
+
+@registry.add("p2_blocks", _BLOCKS_SQL)
 def p2_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The boilerplate blocks of each source: their lines and in how many documents these are."""
     _, blocks = site_lines.repeated_lines(_documents(spark, folder), F.col("source"))
@@ -59,11 +71,22 @@ def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.without_repeated_lines(docs, F.col("source"), blocks)
 
 
-@registry.add("p2_by_type")
+_BY_TYPE_SQL = rf"""WITH {FILES}, lines AS (
+  SELECT d.doc_id, d.source, f.type, unnest(string_split(d.text, chr(10))) AS l, generate_subscripts(string_split(d.text, chr(10)), 1) AS line_no
+  FROM documents d LEFT JOIN files f ON f.fname = d.fname WHERE d.text IS NOT NULL),
+keyed AS (SELECT doc_id, source, type, CAST(line_no AS INTEGER) AS line_no, {_NORMAL} AS k FROM lines),
+sizes AS (SELECT d.source, f.type, count(*) AS docs FROM documents d LEFT JOIN files f ON f.fname = d.fname WHERE d.text IS NOT NULL GROUP BY ALL),
+often AS (SELECT k.* FROM (SELECT source, type, k, count(DISTINCT doc_id) AS n FROM keyed WHERE k <> '' GROUP BY ALL) k
+  JOIN sizes s ON s.source IS NOT DISTINCT FROM k.source AND s.type IS NOT DISTINCT FROM k.type WHERE k.n >= 3 AND k.n * 20 >= s.docs)
+SELECT k.doc_id, k.line_no, k.source, k.type FROM keyed k JOIN often o ON o.k = k.k AND o.source IS NOT DISTINCT FROM k.source AND o.type IS NOT DISTINCT FROM k.type"""
+
+
+@registry.add("p2_by_type", _BY_TYPE_SQL)
 def p2_by_type(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated lines within each source and type of file (``type`` of the file's first header row)."""
     header = table(spark, folder, "archive_header", "fname", "type", "ingested_at", "header_id")
-    kinds = header.groupBy("fname").agg(F.min_by("type", F.struct("ingested_at", "header_id")).alias("type"))
+    kinds = header.groupBy("fname").agg(F.min(F.struct("ingested_at", "header_id", "type")).alias("h")).select("fname", "h.type")
     docs = table(spark, folder, "documents", "doc_id", "source", "text", "fname").join(kinds, "fname", "left")
-    found, _ = site_lines.repeated_lines(docs, F.concat_ws("|", F.coalesce("source", F.lit("")), F.coalesce("type", F.lit(""))))
-    return found.select("doc_id", "line_no", F.split("grp", r"\|").getItem(0).alias("source"), F.split("grp", r"\|").getItem(1).alias("type"))
+    # Both names in one key that can be taken apart, whatever signs are in them.
+    found, _ = site_lines.repeated_lines(docs, F.to_json(F.struct("source", "type")))
+    return found.select("doc_id", "line_no", F.from_json("grp", "source string, type string").alias("g")).select("doc_id", "line_no", "g.source", "g.type")

@@ -3,7 +3,9 @@
 Per group (site, or site and type) the lines of all documents form a weighted graph: a node is a line after
 normalisation, weighted by the documents it occurs in, an edge joins two lines that follow each other, weighted
 by the documents in which they do. Nodes and edges below the support are dropped; the connected components that
-remain are the boilerplate blocks, and all occurrences of their lines are deleted.
+remain are the boilerplate blocks, and all occurrences of lines of a block are deleted. A supported line without supported
+edges is a block by itself: the support of its own is what makes a line repeated, whatever stands around it, so edges say which
+lines belong together, and not which ones go.
 
 Sizes: a node stays only if it is in ``min_share`` of the group's documents, so a group keeps at most
 (mean number of different lines per document) / ``min_share`` nodes, and per node no more edges than that; that
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingualoom.session import bounded_broadcast, materialise
+from lingualoom.session import bounded_broadcast, lookup_join, materialise
 
 MIN_SHARE, MIN_DOCS = 0.05, 3
 #: Most rows that are broadcast; beyond it the join is a shuffled one.
@@ -50,9 +52,8 @@ def repeated_occurrences(documents: DataFrame, group: Column, share: float = MIN
     counts = hashed.groupBy("grp", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     often = counts.join(bounded_broadcast(sizes, MAX_GROUPS), "grp").filter(_reaches(F.col("n"), F.col("docs"), share, least))
     # One row per group with its few hashes, so that documents are read, not exploded and shuffled, for the join.
-    # At most MAX_GROUPS groups are broadcast at once; the arrays are bounded as the head of this module says.
     often = materialise(often.groupBy("grp").agg(F.collect_list("h").alias("hs")), "line_hashes")
-    found = docs.join(bounded_broadcast(often, MAX_GROUPS), "grp").select("doc_id", "grp", "hs", normal_lines(F.col("text")).alias("norm"))
+    found = lookup_join(docs, often, "grp", MAX_GROUPS, 8 * F.size("hs") + F.length("grp")).select("doc_id", "grp", "hs", normal_lines(F.col("text")).alias("norm"))
     # Each step below is one pass over a text's lines, however many there are.
     numbered = F.transform("norm", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     found = found.select("doc_id", "grp", "hs", F.filter(numbered, lambda s: s.line != "").alias("filled"))
@@ -102,7 +103,7 @@ def repeated_lines(documents: DataFrame, group: Column, share: float = MIN_SHARE
     kept = materialise(occurrences, "line_occurrences")
     blocks = materialise(boilerplate_blocks(kept, sizes, share, least), "line_blocks")
     lines = kept.select("doc_id", "grp", F.explode("ls").alias("l")).select("doc_id", "grp", "l.line_no", "l.line")
-    found = lines.join(bounded_broadcast(blocks, MAX_BLOCK_LINES), ["grp", "line"]).select("doc_id", "line_no", "grp", "block", "line")
+    found = lines.join(bounded_broadcast(blocks, MAX_BLOCK_LINES, 4 * (F.length("line") + F.length("grp")) + 16), ["grp", "line"]).select("doc_id", "line_no", "grp", "block", "line")
     return found, blocks
 
 
@@ -110,7 +111,7 @@ def without_repeated_lines(documents: DataFrame, group: Column, blocks: DataFram
     """(doc_id, text, removed): every document, its text without the lines of its group's blocks; null stays null."""
     lists = blocks.groupBy("grp").agg(F.collect_list("line").alias("_lines"))
     docs = documents.select("doc_id", F.coalesce(group.cast("string"), F.lit("\x00")).alias("grp"), "text")
-    docs = docs.join(bounded_broadcast(lists, MAX_GROUPS), "grp", "left")
+    docs = lookup_join(docs, lists, "grp", MAX_GROUPS, 4 * F.aggregate("_lines", F.lit(0), lambda n, x: n + F.length(x)) + F.length("grp"), "left")
     gone = F.transform(normal_lines(F.col("text")), lambda x: (x != "") & F.coalesce(F.array_contains(F.col("_lines"), x), F.lit(False)))
     docs = docs.select("doc_id", "text", F.split("text", "\n", -1).alias("raw"), gone.alias("gone"))
     kept = F.filter("raw", lambda x, i: ~F.get("gone", i))

@@ -56,3 +56,18 @@ def test_found_blocks_and_cleaning(spark):
 def test_empty_table(spark):
     found, blocks = L.repeated_lines(spark.createDataFrame([], SHAPE), F.col("source"))
     assert found.count() == 0 and blocks.count() == 0
+
+
+def test_results_are_the_same_without_broadcasts(spark, monkeypatch):
+    rows = [(k, "hot" if k % 3 else "s|t", "Impressum 1\nKontakt\n" + f"Satz {chr(97 + k)}\nAlles neu") for k in range(12)] + [(50, "hot", None), (51, None, "Impressum 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def run():
+        found, blocks = site_lines.repeated_lines(docs, F.col("source"))
+        clean = site_lines.without_repeated_lines(docs, F.col("source"), blocks)
+        return sorted(map(repr, found.collect())), sorted(map(repr, clean.collect()))
+
+    want = run()
+    monkeypatch.setattr(site_lines, "MAX_GROUPS", 0)
+    monkeypatch.setattr(site_lines, "MAX_BLOCK_LINES", 0)
+    assert run() == want and want[0]
