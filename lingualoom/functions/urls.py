@@ -73,3 +73,8 @@ def matches_path(root: str, key: Column, measure: Column, strategy: Column, sd:
 def site_path(site: Column, stage: str, name: Column) -> Column:
     """Path of a page's file at a stage (``crawled`` or ``parsed``)."""
     return F.concat_ws("/", site, F.lit(stage), F.concat(name, F.lit(".txt")) if stage == "parsed" else name)
+
+
+def in_section(url: Column, section: str) -> Column:
+    """Whether an address lies in a section of its site and is no menu of downloads."""
+    return F.contains(url, F.lit(section)) & ~F.contains(url, F.lit("index.php?menuid="))

@@ -1,13 +1,15 @@
 """Similarities of all sentences of two linked files, long form: (pair_hash, i, j, sim).
 
-Sparse measures join on shared terms only and fill the rest of the grid with 0. Averages of word cosines need no join
-of words: they are the product of summed unit vectors. What needs the best word per word runs in an Arrow kernel
-that gets a pair's sentences and its vocabulary once and multiplies matrices.
+Averages of word cosines need no join of words: they are the product of summed unit vectors. Sparse measures and those that
+need the best word per word run in Arrow kernels that get a pair of files as one row, multiply matrices and give all of its
+cells at once, so that neither shared terms nor cells are shuffled. A row holds what two articles have; within it work goes by
+blocks of sentences, so that memory does not go with words by words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +34,73 @@ def grid(pairs: DataFrame, sents: DataFrame) -> DataFrame:
     return pairs.select("pair_hash", "simple", "standard").join(a, "simple").join(b, "standard").select("pair_hash", "i", "j")
 
 
-def sparse_similarity(pairs: DataFrame, sents: DataFrame, tokens: DataFrame, tf: DataFrame, idf: DataFrame, measure: str) -> DataFrame:
-    """Cosine of tf-idf vectors; cells without a common term are 0.
+#: Values that a kernel holds at a time.
+_BLOCK = 4_000_000
+
+
+def _sparse_dots(ia: np.ndarray, ta: np.ndarray, va: np.ndarray, ib: np.ndarray, tb: np.ndarray, vb: np.ndarray, m: int, n: int) -> np.ndarray:
+    """Products of two sparse matrices (row, term, value), rows by rows, over the terms they share."""
+    order = np.argsort(tb, kind="stable")
+    tb, ib, vb = tb[order], ib[order], vb[order]
+    first, end = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
+    hit = end > first
+    ia, va, first, size = ia[hit], va[hit], first[hit], (end - first)[hit]
+    out = np.zeros(m * n)
+    total = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + _BLOCK, "right")))
+        k = size[start:stop]
+        at = np.repeat(first[start:stop] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        out += np.bincount(np.repeat(ia[start:stop] * n, k) + ib[at], np.repeat(va[start:stop], k) * vb[at], m * n)
+        start = stop
+    return out.reshape(m, n)
+
+
+def _cells(keys: list[str], shapes: list[tuple[int, int]], values: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    """(pair_hash, i, j, values) of the grids of several pairs."""
+    sizes = [m * n for m, n in shapes]
+    own = pa.array(keys, pa.string()).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))
+    i = np.concatenate([np.repeat(np.arange(m, dtype=np.int32), n) for m, n in shapes]) if keys else np.zeros(0, np.int32)
+    j = np.concatenate([np.tile(np.arange(n, dtype=np.int32), m) for m, n in shapes]) if keys else np.zeros(0, np.int32)
+    flat = [pa.array(np.concatenate([x.ravel() for x in v]) if v else np.zeros(0)) for v in values.values()]
+    return pa.RecordBatch.from_arrays([own, pa.array(i), pa.array(j), *flat], names=["pair_hash", "i", "j", *values])
+
+
+def _lists(column: pa.Array, *fields: str) -> list[tuple[np.ndarray, ...]]:
+    """Per row of a column of lists of structs its fields as arrays."""
+    ends = column.offsets.to_numpy()
+    inner = column.values
+    flat = [inner.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    return [tuple(x[a:b] for x in flat) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _sparse_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, shapes, sims = [], [], []
+        for key, m, n, (ia, ta, va), (ib, tb, vb) in zip(*(batch.column(k).to_pylist() for k in range(3)), _lists(batch.column(3), "i", "t", "v"), _lists(batch.column(4), "i", "t", "v")):
+            dots = _sparse_dots(ia, ta, va, ib, tb, vb, m, n)
+            norm = np.outer(np.bincount(ia, va * va, m), np.bincount(ib, vb * vb, n))
+            keys.append(key)
+            shapes.append((m, n))
+            sims.append(np.divide(dots, np.sqrt(norm), out=np.zeros_like(dots), where=norm > 0))
+        yield _cells(keys, shapes, {"sim": sims})
 
-    Shared terms are counted per pair by ``pid``, a short number of the pair if ``pairs`` has one, else by its key.
-    """
-    pid = "pid" if "pid" in pairs.columns else "pair_hash"
-    weighted = W.sentence_terms(tokens, measure).join(W.weights(tf, idf), ["fname", "term"]).select("fname", "i", "term", (F.col("c") * F.col("w")).alias("v"))
-    norms = weighted.groupBy("fname", "i").agg(F.sum(F.col("v") * F.col("v")).alias("q"))
-    keyed = pairs.select(F.col(pid).alias("p"), "simple", "standard")
-    a = keyed.select("p", F.col("simple").alias("fname")).join(weighted, "fname").select("p", "term", "i", F.col("v").alias("x"))
-    b = keyed.select("p", F.col("standard").alias("fname")).join(weighted, "fname").select("p", "term", F.col("i").alias("j"), F.col("v").alias("y"))
-    dots = a.join(b, ["p", "term"]).groupBy("p", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    # Cells are sentences by sentences, so each side's length comes with its sentence and needs no join of its own.
-    left = sents.select(F.col("fname").alias("simple"), "i").join(norms.select(F.col("fname").alias("simple"), "i", F.col("q").alias("qa")), ["simple", "i"], "left")
-    right = sents.select(F.col("fname").alias("standard"), F.col("i").alias("j")).join(norms.select(F.col("fname").alias("standard"), F.col("i").alias("j"), F.col("q").alias("qb")), ["standard", "j"], "left")
-    cells = pairs.select("pair_hash", F.col(pid).alias("p"), "simple", "standard").join(left, "simple").join(right, "standard")
-    full = cells.join(dots, ["p", "i", "j"], "left")
-    norm = F.col("qa") * F.col("qb")
-    return full.select("pair_hash", "i", "j", F.round(F.when(norm > 0, F.coalesce("d", F.lit(0.0)) / F.sqrt(norm)).otherwise(0.0), _ROUND).alias("sim"))
+
+def sparse_similarity(pairs: DataFrame, sents: DataFrame, tokens: DataFrame, tf: DataFrame, idf: DataFrame, measure: str) -> DataFrame:
+    """Cosine of tf-idf vectors of all cells; cells without a common term are 0. Terms travel as their 8-byte hashes."""
+    weighted = W.sentence_terms(tokens, measure).join(W.weights(tf, idf), ["fname", "term"])
+    entry = F.struct(F.col("i").cast("long").alias("i"), F.xxhash64("term").alias("t"), (F.col("c") * F.col("w")).alias("v"))
+    terms = weighted.groupBy("fname").agg(F.collect_list(entry).alias("terms"))
+    # Numbers of sentences run from 0 without gaps.
+    files = sents.groupBy("fname").agg(F.count("*").cast("int").alias("n")).join(terms, "fname", "left")
+    none = F.array().cast("array<struct<i: bigint, t: bigint, v: double>>")
+    files = files.select("fname", "n", F.coalesce("terms", none).alias("terms"))
+    a = files.select(F.col("fname").alias("simple"), F.col("n").alias("m"), F.col("terms").alias("a"))
+    b = files.select(F.col("fname").alias("standard"), "n", F.col("terms").alias("b"))
+    rows = pairs.select("pair_hash", "simple", "standard").join(a, "simple").join(b, "standard").select("pair_hash", "m", "n", "a", "b")
+    return rows.mapInArrow(_sparse_kernel, "pair_hash string, i int, j int, sim double").select("pair_hash", "i", "j", F.round("sim", _ROUND).alias("sim"))
 
 
 def word_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -69,8 +119,9 @@ def _sums(tokens: DataFrame, vecs: DataFrame, dims: int, unit: bool) -> DataFram
         ready = ready.withColumn("q", F.sqrt(_dot("vec", "vec")))
         ready = ready.select("word", F.transform("vec", lambda x: F.when(F.col("q") > 0, x / F.col("q")).otherwise(F.lit(0.0))).alias("vec"))
     long = tokens.select("fname", "i", F.explode("words").alias("word")).join(ready, "word")
-    sums = [F.sum(F.get("vec", F.lit(k))).alias(f"v{k}") for k in range(dims)]
-    return long.groupBy("fname", "i").agg(F.count("*").alias("n"), *sums).select("fname", "i", "n", F.array(*[f"v{k}" for k in range(dims)]).alias("s"))
+    # A vector shorter than the longest counts as 0 beyond its end.
+    sums = [F.sum(F.coalesce(F.get("vec", F.lit(k)), F.lit(0.0))).alias(f"v{k}") for k in range(dims)]
+    return long.groupBy("fname", "i").agg(F.count("*").alias("n"), *sums).select("fname", "i", "n", F.array(*[f"v{k}" for k in range(dims)]).cast("array<double>").alias("s"))
 
 
 def _dot(a: str, b: str):
@@ -141,54 +192,89 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_word_similarities(c: np.ndarray) -> tuple[float, float, float]:
-    """(maximum, bipartite, cwasa) of a matrix of word cosines; all 0 if a side has no words."""
-    if not c.size:
-        return 0.0, 0.0, 0.0
-    maximum = (c.max(axis=0).mean() + c.max(axis=1).mean()) / 2
+def best_assignment(c: np.ndarray) -> float:
+    """Sum of the dearest assignment of the shorter side's words. Where the best words of all are different ones, they are it."""
     d = c if c.shape[0] <= c.shape[1] else c.T
-    pick = assignment(-d)
-    bipartite = d[np.arange(d.shape[0]), pick].sum() / min(c.shape)
-    right, left = c.argmax(axis=1), c.argmax(axis=0)
-    kept = []
-    for i, j in enumerate(right):
-        if c[i, j] > 0 and i != left[j]:
-            kept.append(c[i, j])
-    for j, i in enumerate(left):
-        if c[i, j] > 0:
-            kept.append(c[i, j])
-    return float(maximum), float(bipartite), float(np.mean(kept)) if kept else 0.0
-
-
-def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = d.argmax(axis=1)
+    pick = top if len(set(top.tolist())) == len(top) else assignment(-d)
+    return float(d[np.arange(len(d)), pick].sum())
+
+
+def mutual_mean(c: np.ndarray) -> float:
+    """Mean of the positive best similarities of the words of either side, mutual ones once; 0 if there are none."""
+    to_right, to_left = c.argmax(axis=1), c.argmax(axis=0)
+    right, left = c[np.arange(len(to_right)), to_right], c[to_left, np.arange(len(to_left))]
+    kept = np.concatenate([right[(right > 0) & (to_left[to_right] != np.arange(len(to_right)))], left[left > 0]])
+    return float(kept.mean()) if len(kept) else 0.0
+
+
+def word_measures(cos: np.ndarray, left: list[list[int]], right: list[list[int]], measures: tuple[str, ...] = BY_WORDS) -> dict[str, np.ndarray]:
+    """Measures of all cells from the cosines of a vocabulary and the word numbers of the sentences of both sides; 0 where a side has no words."""
+    m, n = len(left), len(right)
+    out = {k: np.zeros((m, n)) for k in measures}
+    rows, columns = [i for i, x in enumerate(left) if x], [j for j, y in enumerate(right) if y]
+    if not rows or not columns:
+        return out
+    y = np.concatenate([np.array(right[j]) for j in columns])
+    ends = np.cumsum([len(right[j]) for j in columns])
+    starts = np.append(0, ends[:-1])
+    widths = np.diff(np.append(0, ends))
+    # As many sentences at a time as fit a block.
+    lengths = np.cumsum([len(left[i]) for i in rows])
+    first = 0
+    while first < len(rows):
+        done = lengths[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(lengths, done + max(1, _BLOCK // len(y)), "right")))
+        some = rows[first:stop]
+        sizes = np.array([len(left[i]) for i in some])
+        begins = np.cumsum(sizes) - sizes
+        c = cos[np.concatenate([np.array(left[i]) for i in some])[:, None], y[None, :]]
+        if "maximum" in out:
+            by_row = np.add.reduceat(np.maximum.reduceat(c, starts, axis=1), begins, axis=0) / sizes[:, None]
+            by_column = np.add.reduceat(np.maximum.reduceat(c, begins, axis=0), starts, axis=1) / widths
+            out["maximum"][np.ix_(some, columns)] = (by_row + by_column) / 2
+        if "bipartite" in out or "cwasa" in out:
+            for i, a, size in zip(some, begins.tolist(), sizes.tolist()):
+                for j, b, width in zip(columns, starts.tolist(), widths.tolist()):
+                    part = c[a : a + size, b : b + width]
+                    if "bipartite" in out:
+                        out["bipartite"][i, j] = best_assignment(part) / min(size, width)
+                    if "cwasa" in out:
+                        out["cwasa"][i, j] = mutual_mean(part)
+        first = stop
+    return out
+
+
+def _word_kernel(measures: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, a, b, vocabulary in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            index = {v["word"]: k for k, v in enumerate(vocabulary or [])}
-            table = np.array([v["vec"] for v in vocabulary or []], float).reshape(len(index), -1)
-            norm = np.linalg.norm(table, axis=1, keepdims=True) if len(index) else np.zeros((0, 1))
-            table = np.divide(table, norm, out=np.zeros_like(table), where=norm > 0)
-            rows: list[tuple] = []
-            left = [(x["i"], [index[w] for w in x["words"]]) for x in a]
-            right = [(y["i"], [index[w] for w in y["words"]]) for y in b]
-            cos = np.round(table @ table.T, 12) if len(index) else np.zeros((0, 0))
-            for i, p in left:
-                for j, q in right:
-                    rows.append((i, j, *best_word_similarities(cos[np.ix_(p, q)] if p and q else np.zeros((0, 0)))))
-            if rows:
-                i, j, x, y, z = map(list, zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(i)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x), pa.array(y), pa.array(z)], names=["pair_hash", "i", "j", "maximum", "bipartite", "cwasa"])
-
-
-def word_similarities(pairs: DataFrame, tokens: DataFrame, vecs: DataFrame) -> DataFrame:
-    """(pair_hash, i, j, maximum, bipartite, cwasa) of all cells.
+        keys, shapes, values = [], [], {k: [] for k in measures}
+        vectors = batch.column(4)
+        flat, ends = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy().tolist()
+        for k, (key, a, b, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            index = {w: q for q, w in enumerate(words or [])}
+            table = flat[ends[k] : ends[k + 1]].reshape(len(index), -1) if index else np.zeros((0, 1))
+            norm = np.linalg.norm(table, axis=1, keepdims=True)
+            table = np.divide(table, norm, out=np.zeros(table.shape), where=norm > 0)
+            cos = np.round(table @ table.T, 12)
+            found = word_measures(cos, [[index[w] for w in x] for x in a], [[index[w] for w in y] for y in b], measures)
+            keys.append(key)
+            shapes.append((len(a), len(b)))
+            for name, x in found.items():
+                values[name].append(x)
+        yield _cells(keys, shapes, values)
+
+
+def word_similarities(pairs: DataFrame, tokens: DataFrame, vecs: DataFrame, measures: tuple[str, ...] = BY_WORDS) -> DataFrame:
+    """(pair_hash, i, j, a column per measure) of all cells; only what is asked for is computed.
 
     A pair is one row with the sentences of two articles and the vectors of their words, so a task holds what two articles have.
     """
-    files = tokens.groupBy("fname").agg(F.array_sort(F.collect_list(F.struct("i", "words"))).alias("ws"))
+    files = tokens.groupBy("fname").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x.words).alias("ws"))
     keyed = pairs.select("pair_hash", "simple", "standard")
     both = keyed.join(files.select(F.col("fname").alias("simple"), F.col("ws").alias("a")), "simple").join(files.select(F.col("fname").alias("standard"), F.col("ws").alias("b")), "standard")
-    own = both.select("pair_hash", F.explode(F.array_distinct(F.flatten(F.transform(F.concat("a", "b"), lambda x: x.words)))).alias("word"))
-    vocabulary = own.join(vecs, "word").groupBy("pair_hash").agg(F.collect_list(F.struct("word", "vec")).alias("voc"))
-    rows = both.join(vocabulary, "pair_hash", "left").select("pair_hash", "a", "b", "voc")
-    out = rows.mapInArrow(_kernel, "pair_hash string, i int, j int, maximum double, bipartite double, cwasa double")
-    return out.select("pair_hash", "i", "j", *[F.round(m, _ROUND).alias(m) for m in ("maximum", "bipartite", "cwasa")])
+    own = both.select("pair_hash", F.explode(F.array_distinct(F.flatten(F.concat("a", "b")))).alias("word"))
+    vocabulary = own.join(vecs, "word").groupBy("pair_hash").agg(F.collect_list(F.struct("word", "vec")).alias("v"))
+    vocabulary = vocabulary.select("pair_hash", F.transform("v", lambda x: x.word).alias("words"), F.flatten(F.transform("v", lambda x: x.vec)).cast("array<double>").alias("vectors"))
+    rows = both.join(vocabulary, "pair_hash", "left").select("pair_hash", "a", "b", "words", F.coalesce("vectors", F.array().cast("array<double>")).alias("vectors"))
+    out = rows.mapInArrow(partial(_word_kernel, measures), "pair_hash string, i int, j int, " + ", ".join(f"{k} double" for k in measures))
+    return out.select("pair_hash", "i", "j", *[F.round(k, _ROUND).alias(k) for k in measures])

@@ -153,6 +153,12 @@ def filter_new_urls(spark: SparkSession, folder: str) -> DataFrame:
     return kept.join(X.files(spark, folder).select("url"), "url", "left_anti").select("page_id", "url")
 
 
+@add("section_urls", f"WITH {X.FILES} SELECT fname, url FROM files WHERE contains(url, '/ls/') AND NOT contains(url, 'index.php?menuid=')")
+def section_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of the section that a site keeps for simple language, downloads left out."""
+    return X.files(spark, folder).filter(urls.in_section(F.col("url"), "/ls/")).select("fname", "url")
+
+
 @add(
     "header_upsert",
     f"WITH {X.FILES}, u AS (SELECT fname, ingested_at AS t, header_id AS h, unnest(matching_files) AS m, unnest(range(len(matching_files))) AS k FROM archive_header WHERE fname IS NOT NULL), m AS (SELECT fname, m, min(struct_pack(t := t, h := h, k := k)) AS o FROM u GROUP BY fname, m)"

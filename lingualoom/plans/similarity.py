@@ -97,7 +97,7 @@ class Inputs:
         self.spark, self.folder = spark, folder
         # Both are read many times below, so they are written once.
         self.sents = materialise(X.sents(spark, folder), "sents")
-        self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents).withColumn("pid", F.monotonically_increasing_id()), "pairs")
+        self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents), "pairs")
 
     def sim(self, measure: str) -> DataFrame:
         measure = S.ALIASES.get(measure, measure)
@@ -111,8 +111,9 @@ class Inputs:
         tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
         vecs = S.word_vectors(tokens, vectors)
         if measure in ("cosine", "average"):
-            return S.vector_similarity(self.pairs, self.sents, tokens, vecs, DIMENSIONS, measure)
-        return S.word_similarities(self.pairs, tokens, vecs).select("pair_hash", "i", "j", F.col(measure).alias("sim"))
+            dims = vectors.agg(F.max(F.size("embedding")).alias("d")).first().d or 0
+            return S.vector_similarity(self.pairs, self.sents, tokens, vecs, dims, measure)
+        return S.word_similarities(self.pairs, tokens, vecs, (measure,)).select("pair_hash", "i", "j", F.col(measure).alias("sim"))
 
     def written(self, measures: tuple[str, ...]) -> dict[str, DataFrame]:
         """Similarities by measure, each computed once and written; those by best words come from one run of their kernel."""
@@ -120,7 +121,7 @@ class Inputs:
         if len(by_words) > 1:
             tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
             vecs = S.word_vectors(tokens, table(self.spark, self.folder, "embeddings", "vec_id", "embedding"))
-            all_ = materialise(S.word_similarities(self.pairs, tokens, vecs), "sim_by_words")
+            all_ = materialise(S.word_similarities(self.pairs, tokens, vecs, tuple(by_words)), "sim_by_words")
             own = {m: all_.select("pair_hash", "i", "j", F.col(m).alias("sim")) for m in by_words}
         else:
             own = {}
@@ -146,7 +147,8 @@ _SELECT = "SELECT pair_hash, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, r
 
 
 def _matches(measure: str, strategy: str, sd: float, fix: bool, spark: SparkSession, folder: str) -> DataFrame:
-    sim = Inputs(spark, folder).sim(measure)
+    # Read for thresholds and for matches, so computed once.
+    sim = materialise(Inputs(spark, folder).sim(measure), f"sim_{measure}")
     found = A.ordered_matches(sim, sd, fix_row_index=fix) if strategy == "lis" else A.best_matches(sim, sd)
     return found.withColumn("sim", F.round("sim", 6))
 
@@ -166,7 +168,7 @@ SELECT pair_hash, CAST(len(list_reduce(js, lambda t, x: list_concat(list_filter(
 )
 def lis_length(spark: SparkSession, folder: str) -> DataFrame:
     """Length of the longest order-preserving part of each pair's matches, by a fold over the smallest tails."""
-    found = A.best_matches(Inputs(spark, folder).sim("bag_of_words"), 0.0)
+    found = A.best_matches(materialise(Inputs(spark, folder).sim("bag_of_words"), "sim_bag_of_words"), 0.0)
     js = found.groupBy("pair_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x.j).alias("js"))
     tails = F.aggregate(
         "js", F.array().cast("array<int>"), lambda t, j: F.concat(F.filter(t, lambda x: x <= j), F.array(j), F.slice(F.filter(t, lambda x: x > j), 2, 1_000_000_000))
@@ -228,10 +230,11 @@ def matching_grid_full(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("measure", "strategy", "sd").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
-def _exported(spark: SparkSession, folder: str, production: bool) -> tuple[Inputs, DataFrame]:
+def exported(spark: SparkSession, folder: str, production: bool) -> tuple[Inputs, DataFrame]:
     """The matches that are exported: of the configuration that SQL can say, or of the published corpus (maximum, in order, 1.5 deviations)."""
     inputs = Inputs(spark, folder)
-    return inputs, A.ordered_matches(materialise(inputs.sim("maximum"), "sim_maximum"), 1.5) if production else A.best_matches(inputs.sim("bag_of_words"), 1.5)
+    sim = materialise(inputs.sim("maximum" if production else "bag_of_words"), "sim_exported")
+    return inputs, A.ordered_matches(sim, 1.5) if production else A.best_matches(sim, 1.5)
 
 
 @add(
@@ -240,14 +243,14 @@ def _exported(spark: SparkSession, folder: str, production: bool) -> tuple[Input
 )
 def alignment_export(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """The exported corpus, nested by standard sentence."""
-    inputs, found = _exported(spark, folder, production)
+    inputs, found = exported(spark, folder, production)
     return A.export(A.with_sentences(found.withColumn("sim", F.round("sim", 6)), inputs.pairs, inputs.sents))
 
 
 @add("alignment_lines", FULL_SQL + " SELECT pair_hash, i, simple_sent, normal_sent FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5")
 def alignment_lines(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """The exported corpus as parallel lines."""
-    inputs, found = _exported(spark, folder, production)
+    inputs, found = exported(spark, folder, production)
     return A.with_sentences(found, inputs.pairs, inputs.sents).select("pair_hash", "i", "simple_sent", "normal_sent")
 
 
@@ -398,7 +401,7 @@ def site_judgments(spark: SparkSession, folder: str) -> DataFrame:
 @add("aligned_counts", f"{FULL_SQL}, f AS (SELECT site, pair_hash, count(DISTINCT simple_sent) AS s, count(DISTINCT normal_sent) AS n FROM full_ WHERE measure = 'bag_of_words' AND sd = 1.5 GROUP BY ALL) SELECT site, CAST(sum(s) AS BIGINT) AS simple_sentences, CAST(sum(n) AS BIGINT) AS standard_sentences FROM f GROUP BY ROLLUP (site)")
 def aligned_counts(spark: SparkSession, folder: str, production: bool = False) -> DataFrame:
     """Aligned sentences per site and of all."""
-    inputs, found = _exported(spark, folder, production)
+    inputs, found = exported(spark, folder, production)
     return E.aligned_counts(A.with_sentences(found, inputs.pairs, inputs.sents))
 
 
@@ -451,6 +454,37 @@ def length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.select(E.histogram(F.col("c"), 0.0, 20000.0, 20).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+_SIDES = f"""{X.BASE}, {X.tokens_sql()}, sides AS (SELECT DISTINCT simple AS fname, 'simple' AS side FROM used UNION SELECT DISTINCT standard, 'standard' FROM used),
+words AS (SELECT s.side, t.fname, unnest(t.words) AS word FROM tokens t JOIN sides s USING (fname))"""
+
+
+def _side_words(spark: SparkSession, folder: str) -> DataFrame:
+    """(side, fname, word) of the words of both sides."""
+    inputs = Inputs(spark, folder)
+    both = inputs.pairs.select(F.explode(F.array(F.struct(F.col("simple").alias("fname"), F.lit("simple").alias("side")), F.struct(F.col("standard").alias("fname"), F.lit("standard").alias("side")))).alias("x"))
+    return X.tokens(inputs.sents).join(both.select("x.*").distinct(), "fname").select("side", "fname", F.explode("words").alias("word"))
+
+
+@add(
+    "words_histogram",
+    f"{_SIDES}, b AS (SELECT side, CASE WHEN c <= 3000 THEN CAST(least(floor(c / 150), 19) AS INTEGER) END AS bin FROM (SELECT side, fname, count(DISTINCT word) AS c FROM words GROUP BY side, fname)) SELECT side, bin, count(*) AS n FROM b GROUP BY side, bin",
+)
+def words_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of either side by their different words, in twenty bins."""
+    sizes = _side_words(spark, folder).groupBy("side", "fname").agg(F.countDistinct("word").alias("c"))
+    return sizes.select("side", E.histogram(F.col("c"), 0.0, 3000.0, 20).alias("bin")).groupBy("side", "bin").agg(F.count("*").alias("n"))
+
+
+@add(
+    "word_length_histogram",
+    f"{_SIDES}, b AS (SELECT side, CASE WHEN length(word) <= 25 THEN CAST(least(floor(length(word) / 2.5), 9) AS INTEGER) END AS bin FROM words) SELECT side, bin, count(*) AS n FROM b GROUP BY side, bin",
+)
+def word_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of either side by their length, in ten bins."""
+    words = _side_words(spark, folder)
+    return words.select("side", E.histogram(F.length("word"), 0.0, 25.0, 10).alias("bin")).groupBy("side", "bin").agg(F.count("*").alias("n"))
+
+
 @add(
     "similarity_histogram",
     f"{FULL_SQL}, {X.VERDICTS}, b AS (SELECT v.verdict, CAST(least(floor((f.sim - 0) / 0.05), 19) AS INTEGER) AS bin FROM full_ f JOIN verdicts v USING (pair_hash, simple_sent, normal_sent) WHERE f.measure = 'bag_of_words' AND f.sd = 0 AND v.verdict IS NOT NULL) SELECT verdict, bin, count(*) AS n FROM b GROUP BY verdict, bin",

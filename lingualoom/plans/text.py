@@ -159,3 +159,14 @@ def tfidf_weight(spark: SparkSession, folder: str) -> DataFrame:
     sents, used = _used(spark, folder)
     tf = W.word_tf(X.tokens(sents))
     return W.weights(tf, W.idf(tf, catalog.unnested(used))).withColumn("w", F.round("w", 9))
+
+
+@add(
+    "kept_sentences",
+    f"{X.BASE}, {X.tokens_sql()} SELECT s.fname, count(*) AS sentences, count(t.words) AS kept, CAST(count(*) FILTER (len(t.words) = 0) AS BIGINT) AS wordless FROM sents s LEFT JOIN tokens t USING (fname, i) GROUP BY s.fname",
+)
+def kept_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of each file before and after preprocessing, which loses none: one without words stays as an empty one."""
+    sents = X.sents(spark, folder)
+    both = sents.join(X.tokens(sents), ["fname", "i"], "left")
+    return both.groupBy("fname").agg(F.count("*").alias("sentences"), F.count("words").alias("kept"), F.count_if(F.size("words") == 0).alias("wordless"))

@@ -70,9 +70,45 @@ def test_ordered_matches_are_those_of_the_matrix(spark):
 
 def test_word_matrix_golden():
     c = np.array([[0.9, 0.2], [0.8, 0.1]])
-    maximum, bipartite, cwasa = S.best_word_similarities(c)
-    assert (round(maximum, 6), round(bipartite, 6), round(cwasa, 6)) == (0.7, 0.5, round(1.9 / 3, 6))
-    assert S.best_word_similarities(np.zeros((0, 0))) == (0.0, 0.0, 0.0)
+    cos = np.zeros((4, 4))
+    cos[:2, 2:] = c
+    got = S.word_measures(cos, [[0, 1], []], [[], [2, 3]])
+    assert {k: v[0, 1].round(6) for k, v in got.items()} == {"maximum": 0.7, "bipartite": 0.5, "cwasa": round(1.9 / 3, 6)}
+    assert all(v[0, 0] == v[1, 0] == v[1, 1] == 0.0 for v in got.values())
+
+
+def slow_measures(c):
+    rows, columns = range(len(c)), range(len(c[0]))
+    maximum = (sum(max(c[i][j] for i in rows) for j in columns) / len(c[0]) + sum(max(c[i]) for i in rows) / len(c)) / 2
+    short = min(len(c), len(c[0]))
+    fits = [sum(c[i][j] for i, j in (zip(range(short), p) if len(c) == short else zip(p, range(short)))) for p in itertools.permutations(range(max(len(c), len(c[0]))), short)]
+    best = [max(columns, key=lambda j: (c[i][j], -j)) for i in rows]
+    back = [max(rows, key=lambda i: (c[i][j], -i)) for j in columns]
+    kept = [c[i][best[i]] for i in rows if c[i][best[i]] > 0 and back[best[i]] != i] + [c[back[j]][j] for j in columns if c[back[j]][j] > 0]
+    return {"maximum": maximum, "bipartite": max(fits) / short, "cwasa": sum(kept) / len(kept) if kept else 0.0}
+
+
+def test_word_measures_against_their_definitions(monkeypatch):
+    rng = np.random.default_rng(5)
+    for k in range(40):
+        monkeypatch.setattr(S, "_BLOCK", (4_000_000, 5)[k % 2])
+        left = [list(range(a, a + n)) for a, n in ((0, 2), (2, 0), (2, 4))]
+        right = [list(range(a, a + n)) for a, n in ((6, 3), (9, 1))]
+        cos = np.round(rng.normal(size=(10, 10)), 1)
+        got = S.word_measures(cos, left, right)
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                want = slow_measures(cos[np.ix_(x, y)].tolist()) if x else dict.fromkeys(S.BY_WORDS, 0.0)
+                assert all(abs(got[m][i, j] - want[m]) < 1e-9 for m in S.BY_WORDS)
+
+
+def test_sparse_products_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 2, (4, 9)) * rng.normal(size=(4, 9)), rng.integers(0, 2, (3, 9)) * rng.normal(size=(3, 9))
+    (ia, ta), (ib, tb) = np.nonzero(a), np.nonzero(b)
+    for block in (4_000_000, 3):
+        monkeypatch.setattr(S, "_BLOCK", block)
+        assert np.allclose(S._sparse_dots(ia, ta, a[ia, ta], ib, tb, b[ib, tb], 4, 3), a @ b.T)
 
 
 @pytest.mark.parametrize("seed", range(12))
