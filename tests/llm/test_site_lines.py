@@ -63,11 +63,11 @@ def test_results_are_the_same_without_broadcasts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
 
     def run():
-        found, blocks = site_lines.repeated_lines(docs, F.col("source"))
-        clean = site_lines.without_repeated_lines(docs, F.col("source"), blocks)
+        found, blocks = L.repeated_lines(docs, F.col("source"))
+        clean = L.without_repeated_lines(docs, F.col("source"), blocks)
         return sorted(map(repr, found.collect())), sorted(map(repr, clean.collect()))
 
     want = run()
-    monkeypatch.setattr(site_lines, "MAX_GROUPS", 0)
-    monkeypatch.setattr(site_lines, "MAX_BLOCK_LINES", 0)
+    monkeypatch.setattr(L, "MAX_GROUPS", 0)
+    monkeypatch.setattr(L, "MAX_BLOCK_LINES", 0)
     assert run() == want and want[0]
