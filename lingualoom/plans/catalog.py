@@ -204,34 +204,15 @@ def orphan_prune(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.prune_orphans(X.files(spark, folder), parsed)
 
 
-_EDGES = r"""e AS (SELECT DISTINCT 'https://' || site || '/' || page_id AS src, 'https://' || site || '/' || (CAST(regexp_extract(h.href, '^/(\d+)$', 1) AS BIGINT) % 997) AS dst
-  FROM (SELECT page_id % 997 AS page_id, site, unnest(regexp_extract_all(html, '<a\s[^<>]*href="([^"]*)"', 1)) AS href FROM crawled_pages) h WHERE regexp_matches(h.href, '^/\d+$'))"""
+_EDGES = r"""e AS (SELECT DISTINCT 'https://' || site || '/' || page_id AS src, 'https://' || site || '/' || regexp_extract(h.href, '^/0*(\d+)$', 1) AS dst
+  FROM (SELECT page_id, site, unnest(regexp_extract_all(html, '<a\s[^<>]*href="([^"]*)"', 1)) AS href FROM crawled_pages) h WHERE regexp_matches(h.href, '^/\d+$'))"""
 
 
 @add(
     "site_closure",
-    f"WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT 'https://' || site || '/' || 1 AS node FROM crawled_pages), r AS (SELECT node FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r",
+    f"WITH RECURSIVE {_EDGES}, s AS (SELECT 'https://' || site || '/' || min(page_id) AS node FROM crawled_pages GROUP BY site), r AS (SELECT node FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r",
 )
 def site_closure(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages that can be reached on each site from its first one; link numbers are folded to page numbers."""
-    pages = table(spark, folder, "crawled_pages", "page_id", "site", "html")
-    from lingualoom.operators.html import hrefs
-
-    link = hrefs(pages).join(pages.select("page_id", "site"), "page_id").filter(F.col("href").rlike(r"^/\d+$"))
-    name = lambda k: F.concat(F.lit("https://"), "site", F.lit("/"), k.cast("string"))
-    edges = link.select(name(F.col("page_id") % 997).alias("src"), name(F.substring("href", 2, 20).cast("bigint") % 997).alias("dst"))
-    return catalog.closure(edges, pages.select("site").distinct().select(name(F.lit(1)).alias("node")))
-
-
-_WHOLE_EDGES = r"""e AS (SELECT DISTINCT 'https://' || site || '/' || page_id AS src, 'https://' || site || '/' || regexp_extract(h.href, '^/0*(\d+)$', 1) AS dst
-  FROM (SELECT page_id, site, unnest(regexp_extract_all(html, '<a\s[^<>]*href="([^"]*)"', 1)) AS href FROM crawled_pages) h WHERE regexp_matches(h.href, '^/\d+$'))"""
-
-
-@add(
-    "site_closure_whole",
-    f"WITH RECURSIVE {_WHOLE_EDGES}, s AS (SELECT 'https://' || site || '/' || min(page_id) AS node FROM crawled_pages GROUP BY site), r AS (SELECT node FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r",
-)
-def site_closure_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that can be reached on each site from its first one, with page and link numbers as they are."""
     pages = table(spark, folder, "crawled_pages", "page_id", "site", "html")
     from lingualoom.operators.html import hrefs

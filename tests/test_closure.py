@@ -14,5 +14,5 @@ def test_pages_that_differ_by_997_stay_apart(spark, tmp_path):
     link = lambda k: f'<a href="/{k}">x</a>'
     rows = [(5, "a.example", link(1500)), (503, "a.example", link(7)), (1500, "a.example", link("012345678901234567890123")), (40, "b.example", link(41))]
     spark.createDataFrame(rows, "page_id long, site string, html string").write.parquet(f"{tmp_path}/crawled_pages.parquet")
-    got = sorted(r.node for r in entry.queries()["site_closure_whole"](spark, str(tmp_path)).collect())
+    got = sorted(r.node for r in entry.queries()["site_closure"](spark, str(tmp_path)).collect())
     assert got == ["https://a.example/12345678901234567890123", "https://a.example/1500", "https://a.example/5", "https://b.example/40", "https://b.example/41"]

@@ -43,7 +43,7 @@ def test_sentences_number_what_is_left(spark):
 
 
 def test_two_kinds_of_f1(spark):
-    configs = spark.createDataFrame([("m", "max", 0.0)], "measure string, strategy string, sd double")
+    configs = [("m", "max", 0.0)]
     found = spark.createDataFrame([("p", "m", "max", 0.0, "a", "x"), ("p", "m", "max", 0.0, "b", "z"), ("q", "m", "max", 0.0, "c", "c")], "pair_hash string, measure string, strategy string, sd double, simple_sent string, normal_sent string")
     truth = spark.createDataFrame([("p", "a", "x"), ("p", "b", "y"), ("q", "c", "c"), ("r", "d", "d")], "pair_hash string, simple_sent string, normal_sent string")
     row = E.macro_means(E.precision_recall(found, truth, configs)).first()
