@@ -593,7 +593,9 @@ def judged_pairs(links: DataFrame, lines: DataFrame, judgments: DataFrame) -> li
     """Sentences and verdicts of the judged file pairs of smallest hash."""
     votes = judgments.filter(F.col("verdict").isNotNull() & F.col("simple_sent").isNotNull() & F.col("normal_sent").isNotNull())
     some = votes.select("pair_hash").distinct().orderBy("pair_hash").limit(MAX_JUDGED)
-    votes = votes.join(F.broadcast(some), "pair_hash", "left_semi").groupBy("pair_hash").agg(F.collect_list(F.struct("simple_sent", "normal_sent", "verdict")).alias("votes"))
+    # Added up first, so that a pair which holds many repeated rows is no large one.
+    votes = votes.join(F.broadcast(some), "pair_hash", "left_semi").groupBy("pair_hash", F.trim("simple_sent").alias("simple_sent"), F.trim("normal_sent").alias("normal_sent"))
+    votes = votes.agg(F.sum(F.when(F.col("verdict"), 1).otherwise(-1)).alias("votes"))
     keyed = links.withColumn("pair_hash", F.sha1(F.concat("simple", F.lit(".txt___"), "standard", F.lit(".txt"))))
     # At most MAX_JUDGED pairs, so their names can be sent to where the lines are, and only their lines move.
     keyed = [tuple(r) for r in keyed.join(F.broadcast(some), "pair_hash", "left_semi").select("pair_hash", "simple", "standard").collect()]
@@ -602,7 +604,9 @@ def judged_pairs(links: DataFrame, lines: DataFrame, judgments: DataFrame) -> li
     spark = lines.sparkSession
     wanted = spark.createDataFrame(sorted({(n,) for _, *names in keyed for n in names}), "fname string")
     files = {r.fname: _once(r.ids, r.texts)[1] for r in file_sentences(lines.join(F.broadcast(wanted), "fname", "left_semi")).collect()}
-    verdicts = {r.pair_hash: r.votes for r in votes.collect()}
+    verdicts: dict[str, list] = {}
+    for r in votes.collect():
+        verdicts.setdefault(r.pair_hash, []).append(r)
     out = []
     for key, simple, standard in sorted(keyed):
         a, b = files.get(simple, []), files.get(standard, [])
@@ -611,7 +615,7 @@ def judged_pairs(links: DataFrame, lines: DataFrame, judgments: DataFrame) -> li
         for v in verdicts.get(key, []):
             i, j = at.get(v.simple_sent.strip()), bt.get(v.normal_sent.strip())
             if i is not None and j is not None:
-                count[i, j] = count.get((i, j), 0) + (1 if v.verdict else -1)
+                count[i, j] = count.get((i, j), 0) + v.votes
         out.append((a, b, [(i, j, c > 0) for (i, j), c in sorted(count.items()) if c]))
     return out
 
