@@ -15,7 +15,7 @@ from lingualoom.operators import evaluate as E
 from lingualoom.operators import similarity as S
 from lingualoom.operators import weights as W
 from lingualoom.plans import fixture as X
-from lingualoom.plans.registry import Registry
+from lingualoom.plans.registry import Registry, materialised
 from lingualoom.plans.text import GRAM_TF, USED_FILES, WORD_TF, idf_sql
 from lingualoom.session import materialise
 from lingualoom.sources.tables import table
@@ -143,6 +143,33 @@ def match_sql(sim: str, sd: float, out: str, name: str = "sim") -> str:
 {out} AS (SELECT pair_hash, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash, i ORDER BY sim DESC, j) AS rn FROM {name}) JOIN {out}_t USING (pair_hash) WHERE rn = 1 AND sim > thr)"""
 
 
+def ordered_sql(sim: str, sd: float, out: str, name: str = "sim", fix: bool = False) -> str:
+    """CTEs that give the order-preserving matches of ``name`` as ``out``.
+
+    The longest run is found with a list of smallest tails per match and followed back; then every gap is walked by itself, from the column
+    taken last to that of the next fixed match.
+    """
+    sql = materialised(match_sql(sim, sd, f"{out}_b", name)).replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{sql},
+{out}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY i) - 1 AS k FROM {out}_b),
+{out}_n AS (SELECT pair_hash, -1 AS k, CAST([] AS BIGINT[]) AS tails, CAST(0 AS BIGINT) AS size, CAST(-1 AS BIGINT) AS j FROM {out}_o WHERE k = 0
+  UNION ALL SELECT o.pair_hash, o.k, list_concat(list_filter(n.tails, lambda x: x <= o.j), [CAST(o.j AS BIGINT)], list_filter(n.tails, lambda x: x > o.j)[2:]), 1 + len(list_filter(n.tails, lambda x: x <= o.j)), o.j
+  FROM {out}_n n JOIN {out}_o o ON o.pair_hash = n.pair_hash AND o.k = n.k + 1),
+{out}_p AS (SELECT a.pair_hash, a.k, max(b.k) AS before FROM {out}_n a JOIN {out}_n b ON b.pair_hash = a.pair_hash AND b.k < a.k AND b.size = a.size - 1 AND b.j <= a.j WHERE b.k >= 0 GROUP BY a.pair_hash, a.k),
+{out}_k AS (SELECT pair_hash, min(k) AS k FROM (SELECT *, max(size) OVER (PARTITION BY pair_hash) AS top FROM {out}_n) WHERE size = top GROUP BY pair_hash
+  UNION ALL SELECT p.pair_hash, p.before FROM {out}_k c JOIN {out}_p p ON p.pair_hash = c.pair_hash AND p.k = c.k),
+{out}_f AS MATERIALIZED (SELECT o.* FROM {out}_o o JOIN {out}_k USING (pair_hash, k)),
+{out}_w AS (SELECT pair_hash, max(j) AS last FROM {name} GROUP BY pair_hash),
+{out}_g AS (SELECT o.pair_hash, o.i, o.k, coalesce(max(f.k) FILTER (f.k < o.k), -1) AS gap, coalesce(max(f.j) FILTER (f.k < o.k), 0) AS low, coalesce(min(f.j) FILTER (f.k > o.k), any_value(w.last)) AS high
+  FROM {out}_o o JOIN {out}_f f USING (pair_hash) JOIN {out}_w w USING (pair_hash) GROUP BY o.pair_hash, o.i, o.k HAVING count(*) FILTER (f.k = o.k) = 0),
+{out}_l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_hash, gap ORDER BY k) AS s FROM {out}_g JOIN {out}_b_t USING (pair_hash)),
+{out}_s AS (SELECT pair_hash, gap, CAST(0 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS i, CAST(low AS BIGINT) AS edge, false AS taken FROM {out}_l WHERE s = 1
+  UNION ALL SELECT pair_hash, gap, s, i, CASE WHEN top.v > thr THEN -top.b ELSE edge END, top.v > thr FROM (
+    SELECT l.pair_hash, l.gap, l.s, l.i, any_value(x.edge) AS edge, any_value(l.thr) AS thr, max(struct_pack(v := CASE WHEN isnan(c.sim) THEN '-inf'::DOUBLE ELSE c.sim END, b := CAST(-c.j AS BIGINT))) AS top
+    FROM {out}_s x JOIN {out}_l l ON l.pair_hash = x.pair_hash AND l.gap = x.gap AND l.s = x.s + 1 JOIN {name} c ON c.pair_hash = l.pair_hash AND c.i = l.{'i' if fix else 'k'} AND c.j BETWEEN x.edge AND l.high GROUP BY l.pair_hash, l.gap, l.s, l.i)),
+{out} AS MATERIALIZED (SELECT pair_hash, i, j, sim FROM {out}_f UNION ALL SELECT c.pair_hash, c.i, c.j, c.sim FROM {out}_s x JOIN {name} c ON c.pair_hash = x.pair_hash AND c.i = x.i AND c.j = x.edge JOIN {out}_b_t t ON t.pair_hash = c.pair_hash WHERE x.taken AND c.sim > t.thr)"""
+
+
 _SELECT = "SELECT pair_hash, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sim, 6) AS sim FROM m"
 
 
@@ -155,8 +182,8 @@ def _matches(measure: str, strategy: str, sd: float, fix: bool, spark: SparkSess
 
 for _sd, _tag in ((0.0, "00"), (1.5, "15")):
     add(f"match_max_{_tag}", match_sql(SIM_SQL["bag_of_words"], _sd, "m") + _SELECT)(partial(_matches, "bag_of_words", "max", _sd, False))
-    add(f"match_lis_{_tag}")(partial(_matches, "bag_of_words", "lis", _sd, False))
-add("match_lis_fixed")(partial(_matches, "bag_of_words", "lis", 1.5, True))
+    add(f"match_lis_{_tag}", ordered_sql(SIM_SQL["bag_of_words"], _sd, "m") + _SELECT)(partial(_matches, "bag_of_words", "lis", _sd, False))
+add("match_lis_fixed", ordered_sql(SIM_SQL["bag_of_words"], 1.5, "m", fix=True) + _SELECT)(partial(_matches, "bag_of_words", "lis", 1.5, True))
 add("match_max_sbert", match_sql(_SBERT, 1.5, "m") + _SELECT)(partial(_matches, "sbert", "max", 1.5, False))
 
 
@@ -406,8 +433,13 @@ def aligned_counts(spark: SparkSession, folder: str, production: bool = False) -
 
 
 # The same of the published corpus's configuration.
+_PRODUCTION = (
+    ordered_sql(SIM_SQL["maximum"], 1.5, "m")
+    + ", full_ AS MATERIALIZED (SELECT f.*, p.site, p.simple, p.standard, a.sent AS simple_sent, b.sent AS normal_sent, 'bag_of_words' AS measure, 1.5 AS sd FROM m f JOIN used p USING (pair_hash) JOIN sents a ON a.fname = p.simple AND a.i = f.i JOIN sents b ON b.fname = p.standard AND b.i = f.j)"
+)
 for _query in (alignment_export, alignment_lines, aligned_counts):
-    add(f"{_query.__name__}_production")(partial(_query, production=True))
+    _tail = registry.oracles[_query.__name__].removeprefix(materialised(FULL_SQL))
+    add(f"{_query.__name__}_production", _PRODUCTION + _tail)(partial(_query, production=True))
 
 
 _LENGTHS = f"""{X.BASE}, {X.tokens_sql()}, sides AS (SELECT DISTINCT simple AS fname, 'simple' AS side, site FROM used UNION SELECT DISTINCT standard, 'standard', site FROM used),

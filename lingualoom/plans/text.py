@@ -10,6 +10,7 @@ from lingualoom.operators import catalog
 from lingualoom.operators import weights as W
 from lingualoom.plans import fixture as X
 from lingualoom.plans.registry import Registry
+from lingualoom.session import materialise
 from lingualoom.sources.tables import table
 
 registry = Registry()
@@ -135,7 +136,8 @@ def ngram_tf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _used(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sents = X.sents(spark, folder)
+    # Read for the pairs and for the terms, so written once.
+    sents = materialise(X.sents(spark, folder), "sents")
     return sents, X.used_pairs(X.pairs(spark, folder), sents)
 
 
@@ -143,21 +145,21 @@ def _used(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def word_idf(spark: SparkSession, folder: str) -> DataFrame:
     """Inverse document frequency of words over the files of pairs."""
     sents, used = _used(spark, folder)
-    return W.idf(W.word_tf(X.tokens(sents)), catalog.unnested(used)).withColumn("idf", F.round("idf", 9))
+    return W.idf(materialise(W.word_tf(X.tokens(sents)), "tf"), catalog.unnested(used)).withColumn("idf", F.round("idf", 9))
 
 
 @add("ngram_idf", f"{X.BASE}, {X.tokens_sql()}, {USED_FILES}, {GRAM_TF}, {idf_sql('gram_idf', 'gram_tf')} SELECT term, round(idf, 9) AS idf FROM gram_idf")
 def ngram_idf(spark: SparkSession, folder: str) -> DataFrame:
     """Inverse document frequency of 4-grams over the files of pairs."""
     sents, used = _used(spark, folder)
-    return W.idf(W.ngram_tf(X.tokens(sents)), catalog.unnested(used)).withColumn("idf", F.round("idf", 9))
+    return W.idf(materialise(W.ngram_tf(X.tokens(sents)), "tf"), catalog.unnested(used)).withColumn("idf", F.round("idf", 9))
 
 
 @add("tfidf_weight", f"{X.BASE}, {X.tokens_sql()}, {USED_FILES}, {WORD_TF}, {idf_sql('word_idf', 'word_tf')} SELECT fname, term, round(tf * idf, 9) AS w FROM word_tf JOIN word_idf USING (term)")
 def tfidf_weight(spark: SparkSession, folder: str) -> DataFrame:
     """Weight of each word in its file."""
     sents, used = _used(spark, folder)
-    tf = W.word_tf(X.tokens(sents))
+    tf = materialise(W.word_tf(X.tokens(sents)), "tf")
     return W.weights(tf, W.idf(tf, catalog.unnested(used))).withColumn("w", F.round("w", 9))
 
 

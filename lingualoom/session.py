@@ -120,7 +120,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int, size: Column | None = None)
     return F.broadcast(df) if _fits(df, max_rows, size) else df
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, max_rows: int, size: Column, how: str = "inner", parts: int = 64) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str | list[str], max_rows: int, size: Column, how: str = "inner", parts: int = 64) -> DataFrame:
     """``big`` joined with ``small``, which has a row per ``key``: by broadcast if that is small enough, else shuffled with each key of ``big`` spread over ``parts``.
 
     So a key that holds a third of all rows is no single task, whatever the size of the other side.
@@ -129,4 +129,5 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, max_rows: int, size:
         return big.join(F.broadcast(small), key, how)
     spread = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int"))
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return spread.join(copies, [key, "_part"], how).drop("_part")
+    keys = [key] if isinstance(key, str) else key
+    return spread.join(copies, [*keys, "_part"], how).drop("_part")
