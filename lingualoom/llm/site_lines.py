@@ -103,7 +103,7 @@ def repeated_lines(documents: DataFrame, group: Column, share: float = MIN_SHARE
     kept = materialise(occurrences, "line_occurrences")
     blocks = materialise(boilerplate_blocks(kept, sizes, share, least), "line_blocks")
     lines = kept.select("doc_id", "grp", F.explode("ls").alias("l")).select("doc_id", "grp", "l.line_no", "l.line")
-    found = lines.join(bounded_broadcast(blocks, MAX_BLOCK_LINES, 4 * (F.length("line") + F.length("grp")) + 16), ["grp", "line"]).select("doc_id", "line_no", "grp", "block", "line")
+    found = lookup_join(lines, blocks, ["grp", "line"], MAX_BLOCK_LINES, 4 * (F.length("line") + F.length("grp")) + 16).select("doc_id", "line_no", "grp", "block", "line")
     return found, blocks
 
 
