@@ -47,7 +47,7 @@ ANCHOR = 0.75
 #: A key makes cells of its own unless it has more than so many times the sentences of both files.
 COMMON = 4
 #: What the order is worth: the same partner as the sentence before, the next one, one further on, one back.
-SAME, NEXT, ONWARD, BACK = 1.0, 0.7, -0.5, -1.0
+SAME, NEXT, ONWARD, BACK = 0.7, 0.5, -0.5, -1.2
 #: Words are associated if they stand in more than two right pairs and in this share of them.
 SUPPORT = 0.001
 
