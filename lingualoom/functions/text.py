@@ -86,8 +86,11 @@ def words(text: Column, options: Preprocessing, stopwords: tuple[str, ...] = STO
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """Sliding n-grams of characters; none if the text is shorter than n."""
-    return _slide(F.split(text, ""), n, "")
+    """Sliding n-grams of characters; none if the text is shorter than n.
+
+    A look-ahead matches at every character, so one pass of a compiled pattern gives all of them; half a character (a low surrogate) begins none.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), F.lit(1))
 
 
 def token_ngrams(words_: Column, n: int) -> Column:

@@ -17,7 +17,7 @@ from lingualoom.operators import weights as W
 from lingualoom.plans import fixture as X
 from lingualoom.plans.registry import Registry, materialised
 from lingualoom.plans.text import GRAM_TF, USED_FILES, WORD_TF, idf_sql
-from lingualoom.session import materialise
+from lingualoom.session import bounded_broadcast, materialise
 from lingualoom.sources.tables import table
 
 registry = Registry()
@@ -98,30 +98,38 @@ class Inputs:
         # Both are read many times below, so they are written once.
         self.sents = materialise(X.sents(spark, folder), "sents")
         self.pairs = materialise(X.used_pairs(X.pairs(spark, folder), self.sents), "pairs")
+        # Similarities work on numbers of files instead of their long names.
+        files = materialise(catalog.unnested(self.pairs).withColumn("f", F.monotonically_increasing_id()), "file_numbers")
+        self._sents = materialise(self.sents.join(files, "fname").select(F.col("f").alias("fname"), "i", "sent"), "numbered_sents")
+        a, b = (files.select(F.col("fname").alias(c), F.col("f").alias(f"{c}_f")) for c in ("simple", "standard"))
+        numbered = self.pairs.join(a, "simple").join(b, "standard")
+        self._pairs = materialise(numbered.select("pair_hash", F.col("simple_f").alias("simple"), F.col("standard_f").alias("standard")), "numbered_pairs")
 
     def sim(self, measure: str) -> DataFrame:
         measure = S.ALIASES.get(measure, measure)
         if measure in ("n_gram", "bag_of_words"):
-            tokens = materialise(X.tokens(self.sents), "tokens")
+            tokens = materialise(X.tokens(self._sents), "tokens")
             tf = materialise(W.word_tf(tokens) if measure == "bag_of_words" else W.ngram_tf(tokens), f"tf_{measure}")
-            return S.sparse_similarity(self.pairs, self.sents, tokens, tf, W.idf(tf, catalog.unnested(self.pairs)), measure)
+            idf = materialise(W.idf(tf, catalog.unnested(self._pairs)), f"idf_{measure}")
+            idf = bounded_broadcast(idf, 1_000_000, 4 * F.length("term") + 24)
+            return S.sparse_similarity(self._pairs, self._sents, tokens, tf, idf, measure)
         vectors = table(self.spark, self.folder, "embeddings", "vec_id", "embedding")
         if measure == "sbert":
-            return S.encoded_similarity(self.pairs, self.sents, vectors)
-        tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
+            return S.encoded_similarity(self._pairs, self._sents, vectors)
+        tokens = materialise(X.tokens(self._sents, T.EMBEDDING), "tokens")
         vecs = S.word_vectors(tokens, vectors)
         if measure in ("cosine", "average"):
             dims = vectors.agg(F.max(F.size("embedding")).alias("d")).first().d or 0
-            return S.vector_similarity(self.pairs, self.sents, tokens, vecs, dims, measure)
-        return S.word_similarities(self.pairs, tokens, vecs, (measure,)).select("pair_hash", "i", "j", F.col(measure).alias("sim"))
+            return S.vector_similarity(self._pairs, self._sents, tokens, vecs, dims, measure)
+        return S.word_similarities(self._pairs, tokens, vecs, (measure,)).select("pair_hash", "i", "j", F.col(measure).alias("sim"))
 
     def written(self, measures: tuple[str, ...]) -> dict[str, DataFrame]:
         """Similarities by measure, each computed once and written; those by best words come from one run of their kernel."""
         by_words = [m for m in measures if m in S.BY_WORDS]
         if len(by_words) > 1:
-            tokens = materialise(X.tokens(self.sents, T.EMBEDDING), "tokens")
+            tokens = materialise(X.tokens(self._sents, T.EMBEDDING), "tokens")
             vecs = S.word_vectors(tokens, table(self.spark, self.folder, "embeddings", "vec_id", "embedding"))
-            all_ = materialise(S.word_similarities(self.pairs, tokens, vecs, tuple(by_words)), "sim_by_words")
+            all_ = materialise(S.word_similarities(self._pairs, tokens, vecs, tuple(by_words)), "sim_by_words")
             own = {m: all_.select("pair_hash", "i", "j", F.col(m).alias("sim")) for m in by_words}
         else:
             own = {}

@@ -21,6 +21,8 @@ def build_session(app: str = "lingualoom", master: str | None = None, **conf: st
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # Stages here do much work per byte: small partitions are joined only as far as all cores stay busy.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
