@@ -61,16 +61,6 @@ def increasing(js: list[int]) -> list[int]:
     return sorted(path)
 
 
-def _staircase(part: np.ndarray, threshold: float) -> np.ndarray:
-    """Column of each row of a gap, -1 for none: the largest value at or after the column taken before, if it is above the threshold."""
-    taken, edge = np.full(len(part), -1), 0
-    for r, values in enumerate(part):
-        at = edge + int(values[edge:].argmax())
-        if values[at] > threshold:
-            taken[r] = edge = at
-    return taken
-
-
 def ordered_alignment(matrix: np.ndarray, threshold: float, fix_row_index: bool = False) -> list[tuple[int, int]]:
     """Best matches in an order-preserving alignment.
 
@@ -85,17 +75,25 @@ def ordered_alignment(matrix: np.ndarray, threshold: float, fix_row_index: bool
     rows = np.flatnonzero(matrix[np.arange(len(matrix)), peak] > threshold)
     if not len(rows):
         return []
-    fixed = np.array(increasing(peak[rows].tolist()))
-    columns = peak[rows].copy()
-    others = np.setdiff1d(np.arange(len(rows)), fixed)
-    low, high = np.append(0, columns[fixed]), np.append(columns[fixed], matrix.shape[1] - 1)
-    gap_of = np.searchsorted(fixed, others)
-    for gap in np.unique(gap_of):
-        members = others[gap_of == gap]
-        taken = _staircase(matrix[rows[members] if fix_row_index else members, low[gap] : high[gap] + 1], threshold)
-        columns[members] = np.where(taken < 0, -1, low[gap] + taken)
-    hit = (columns >= 0) & (matrix[rows, columns] > threshold)
-    return list(zip(rows[hit].tolist(), columns[hit].tolist()))
+    at, columns = rows.tolist(), peak[rows].tolist()
+    fixed = increasing(columns)
+    if len(fixed) == len(columns):
+        return list(zip(at, columns))
+    low, before = 0, -1
+    for here in (*fixed, len(columns)):
+        high = columns[here] if here < len(columns) else matrix.shape[1] - 1
+        edge = low
+        for k in range(before + 1, here):
+            # The largest value at or after the column taken before, if it is above the threshold.
+            values = matrix[at[k] if fix_row_index else k, edge : high + 1]
+            top = int(values.argmax())
+            if values[top] > threshold:
+                edge += top
+                columns[k] = edge
+            else:
+                columns[k] = -1
+        low, before = high, here
+    return [(i, j) for i, j in zip(at, columns) if j >= 0 and matrix[i, j] > threshold]
 
 
 def ordered_matches(sim: DataFrame, sd: float, least: float = 0.0, fix_row_index: bool = False) -> DataFrame:
