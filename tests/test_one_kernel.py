@@ -24,6 +24,7 @@ def no_cells(monkeypatch):
 ROWS = (
     ("judgment_prf_whole", 32),
     ("match_stats_whole", 768),
+    ("matches_by_configuration", 157),
 )
 
 
