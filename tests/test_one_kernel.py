@@ -25,6 +25,7 @@ ROWS = (
     ("judgment_prf_whole", 32),
     ("match_stats_whole", 768),
     ("matches_by_configuration", 157),
+    ("matching_grid_full", 32),
 )
 
 
