@@ -26,6 +26,7 @@ ROWS = (
     ("match_stats_whole", 768),
     ("matches_by_configuration", 157),
     ("matching_grid_full", 32),
+    ("matching_header_whole", 20),
 )
 
 
