@@ -27,6 +27,7 @@ ROWS = (
     ("matches_by_configuration", 157),
     ("matching_grid_full", 32),
     ("matching_header_whole", 20),
+    ("precision_by_site_whole", 62),
 )
 
 
