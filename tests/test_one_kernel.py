@@ -28,6 +28,7 @@ ROWS = (
     ("matching_grid_full", 32),
     ("matching_header_whole", 20),
     ("precision_by_site_whole", 62),
+    ("judgment_sims_whole", 7),
 )
 
 
