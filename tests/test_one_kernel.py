@@ -29,6 +29,7 @@ ROWS = (
     ("matching_header_whole", 20),
     ("precision_by_site_whole", 62),
     ("judgment_sims_whole", 7),
+    ("match_stats_grouping_sets_whole", 44),
 )
 
 
