@@ -30,6 +30,7 @@ ROWS = (
     ("precision_by_site_whole", 62),
     ("judgment_sims_whole", 7),
     ("match_stats_grouping_sets_whole", 44),
+    ("matched_skip_whole", 1),
 )
 
 
