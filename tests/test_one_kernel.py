@@ -31,6 +31,7 @@ ROWS = (
     ("judgment_sims_whole", 7),
     ("match_stats_grouping_sets_whole", 44),
     ("matched_skip_whole", 1),
+    ("matching_grid_whole", 9423),
 )
 
 
