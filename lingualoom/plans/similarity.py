@@ -457,9 +457,10 @@ def last_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def next_unjudged(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Candidates of the stricter threshold that still need a verdict; a file pair counts as finished with more than a dozen verdicts and none open."""
-    found, verdicts = _grid_with_verdicts(spark, folder, grid)
-    done = table(spark, folder, "judgments", "pair_hash", "verdict").groupBy("pair_hash").agg(F.count("*").alias("n"), F.count("verdict").alias("v"))
-    return E.next_unjudged(found.filter("sd = 1.5"), verdicts, done.filter("n = v AND n > 12"))
+    inputs, found = _grid_of(spark, folder, grid, "open")
+    # A cell that several configurations find gets its sentences once.
+    cells = found.filter("sd = 1.5").select("pair_hash", "i", "j").distinct()
+    return E.next_unjudged(A.with_sentences(cells, inputs.pairs, inputs.sents), E.last_verdicts(table(spark, folder, "judgments")), _finished(spark, folder))
 
 
 @add(

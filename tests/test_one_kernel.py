@@ -32,6 +32,7 @@ ROWS = (
     ("match_stats_grouping_sets_whole", 44),
     ("matched_skip_whole", 1),
     ("matching_grid_whole", 9423),
+    ("next_unjudged_whole", 632),
 )
 
 
