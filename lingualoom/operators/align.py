@@ -72,28 +72,38 @@ def ordered_alignment(matrix: np.ndarray, threshold: float, fix_row_index: bool
     if not matrix.size:
         return []
     peak = matrix.argmax(axis=1)
-    rows = np.flatnonzero(matrix[np.arange(len(matrix)), peak] > threshold)
-    if not len(rows):
-        return []
-    at, columns = rows.tolist(), peak[rows].tolist()
+    return in_order(matrix, peak.tolist(), matrix[np.arange(len(matrix)), peak].tolist(), threshold, fix_row_index)
+
+
+#: Columns up to which a row is looked through faster as a list than as an array.
+NARROW = 64
+
+
+def in_order(values: np.ndarray | list[list[float]], peak: list[int], top: list[float], threshold: float, fix_row_index: bool = False) -> list[tuple[int, int]]:
+    """``ordered_alignment`` from rows, as lists if they are narrow, whose first largest values and the columns of these are known."""
+    at = [i for i, x in enumerate(top) if x > threshold]
+    columns = [peak[i] for i in at]
     fixed = increasing(columns)
     if len(fixed) == len(columns):
         return list(zip(at, columns))
-    low, before = 0, -1
+    listed = isinstance(values, list)
+    last = (len(values[0]) if listed else values.shape[1]) - 1
+    low, before, out = 0, -1, []
     for here in (*fixed, len(columns)):
-        high = columns[here] if here < len(columns) else matrix.shape[1] - 1
+        high = columns[here] if here < len(columns) else last
         edge = low
         for k in range(before + 1, here):
             # The largest value at or after the column taken before, if it is above the threshold.
-            values = matrix[at[k] if fix_row_index else k, edge : high + 1]
-            top = int(values.argmax())
-            if values[top] > threshold:
-                edge += top
-                columns[k] = edge
-            else:
-                columns[k] = -1
+            row = values[at[k] if fix_row_index else k][edge : high + 1]
+            largest = max(row) if listed else row.max()
+            if largest > threshold:
+                edge += row.index(largest) if listed else int(row.argmax())
+                if values[at[k]][edge] > threshold:
+                    out.append((at[k], edge))
+        if here < len(columns):
+            out.append((at[here], high))
         low, before = high, here
-    return [(i, j) for i, j in zip(at, columns) if j >= 0 and matrix[i, j] > threshold]
+    return out
 
 
 def ordered_matches(sim: DataFrame, sd: float, least: float = 0.0, fix_row_index: bool = False) -> DataFrame:

@@ -79,7 +79,7 @@ def unnested(pairs: DataFrame) -> DataFrame:
 def sentences(lines: DataFrame) -> DataFrame:
     """(fname, i, sent): sentences of each file, each stored row once and blank ones left out, numbered from 0."""
     one = lines.filter(F.col("fname").isNotNull()).groupBy("fname", "sent_id").agg(F.min(F.struct("parsed_at", "line_no", "sent")).alias("s"))
-    one = one.filter(F.trim(F.regexp_replace("s.sent", r"[\s\p{Z}]+", " ")) != "")
+    one = one.filter(F.col("s.sent").rlike(r"[^\s\p{Z}]"))
     # A file is one article, so what one task gets for it is an article's sentences.
     files = one.groupBy("fname").agg(F.array_sort(F.collect_list(F.struct("s.line_no", "sent_id", "s.sent"))).alias("all"))
     return files.select("fname", F.posexplode("all").alias("i", "x")).select("fname", "i", F.col("x.sent").alias("sent"))

@@ -128,8 +128,8 @@ class Inputs:
         rows = own.toArrow().sort_by("vec_id")["embedding"].combine_chunks()
         return rows.flatten().to_numpy().astype(np.float64).reshape(row.n, row.long)
 
-    def matches(self, measures: tuple[str, ...], strategies: tuple[str, ...], pairs: DataFrame) -> DataFrame | None:
-        """Matches of ``pairs`` in all configurations from one kernel; None if what every worker must have is too large for that."""
+    def grid(self, find, measures: tuple[str, ...], strategies: tuple[str, ...], pairs: DataFrame) -> DataFrame | None:
+        """What ``find`` of ``whole_grid`` finds in ``pairs`` in all configurations, from one kernel; None if what every worker must have is too large for that."""
         if (vectors := self._vectors()) is None:
             return None
         files = materialise(G.file_words(self.sents, catalog.unnested(self.pairs)), "file_words")
@@ -138,7 +138,7 @@ class Inputs:
             return None
         counts = counts.toArrow()
         shared: Broadcast = self.spark.sparkContext.broadcast((vectors, [G.idf_table(counts, m) for m in range(len(G.BY_TERMS))]))
-        return G.matches(pairs, files, shared, measures, strategies, CONFIG_SDS)
+        return find(pairs, files, shared, measures, strategies, CONFIG_SDS)
 
     def sim(self, measure: str) -> DataFrame:
         measure = S.ALIASES.get(measure, measure)
@@ -284,7 +284,7 @@ def grid_matches(spark: SparkSession, folder: str, strategies: tuple[str, ...] =
             pairs = pairs.join(table(spark, folder, "judgments", "pair_hash").distinct(), "pair_hash", "left_semi")
         elif only == "open":
             pairs = pairs.join(_finished(spark, folder), "pair_hash", "left_anti")
-        found = inputs.matches(measures, strategies, pairs)
+        found = inputs.grid(G.matches, measures, strategies, pairs)
     return inputs, A.all_matches(inputs.written(measures), CONFIG_SDS, strategies) if found is None else found
 
 
