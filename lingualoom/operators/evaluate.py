@@ -35,10 +35,14 @@ def _each_config(rows: DataFrame, configs: list[Config]) -> DataFrame:
 
 def match_statistics(found: DataFrame, pairs: DataFrame, configs: list[Config]) -> DataFrame:
     """(pair_hash, measure, strategy, sd, n, mean_sim): matches of each pair and configuration, 0 where there are none."""
-    own = found.groupBy("pair_hash", "measure", "strategy", "sd").agg(F.count("*").alias("n"), F.avg("sim").alias("m"))
+    return tally_statistics(found.groupBy("pair_hash", "measure", "strategy", "sd").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), pairs, configs)
+
+
+def tally_statistics(tallies: DataFrame, pairs: DataFrame, configs: list[Config]) -> DataFrame:
+    """``match_statistics`` from (pair_hash, measure, strategy, sd, n, total) of those that have matches."""
     whole = _each_config(pairs.select("pair_hash"), configs)
-    out = whole.join(own, ["pair_hash", "measure", "strategy", "sd"], "left")
-    return out.select("pair_hash", "measure", "strategy", "sd", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0.0)).alias("mean_sim"))
+    out = whole.join(tallies, ["pair_hash", "measure", "strategy", "sd"], "left")
+    return out.select("pair_hash", "measure", "strategy", "sd", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("mean_sim"))
 
 
 def grouped_statistics(stats: DataFrame) -> DataFrame:

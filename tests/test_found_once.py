@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lingualoom.functions import text as X
+from lingualoom.operators import align as A
 from lingualoom.operators import whole_grid as G
 
 
@@ -34,3 +36,29 @@ def test_files_with_each_term(monkeypatch, block):
     t, n, has = G._files_with(lambda k: (None, terms[k]), len(terms))
     assert (t.tolist(), n.tolist(), has) == ([-1, 5, 7, 9], [1, 2, 2, 1], 4)
     assert [x.tolist() for x in G._files_with(None, 0)[:2]] == [[], []]
+
+
+@pytest.fixture
+def no_matches(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("matches leave the kernel one by one")
+
+    monkeypatch.setattr(G, "matches", refuse)
+
+
+def _random_sims() -> np.ndarray:
+    sims = np.random.default_rng(5).normal(size=(3, 9, 7)).round(2)
+    sims[1, 2] = np.nan
+    sims[2] = -1
+    return sims
+
+
+def test_tallies_are_those_of_the_matches():
+    sims, how = _random_sims(), (tuple(A.STRATEGIES), (0.0, 1.5))
+    cells = {c: (n, float(np.sum(m[2]))) for c, n, m in G._matches(sims, *how, G.CELLS)}
+    tallies = {c: (n, total) for c, n, total in G._matches(sims, *how, G.TALLY)}
+    assert cells.keys() == tallies.keys() and all(np.allclose(cells[c], tallies[c]) for c in cells)
+
+
+def test_grouped_statistics_need_no_matches(spark, data, no_matches):
+    assert entry.queries()["match_stats_grouping_sets_whole"](spark, data).count() == 44
