@@ -301,6 +301,15 @@ def grid_tallies(spark: SparkSession, folder: str, strategies: tuple[str, ...],
     return inputs, found
 
 
+def grid_matched(spark: SparkSession, folder: str, strategies: tuple[str, ...], measures: tuple[str, ...]) -> tuple[Inputs, DataFrame]:
+    """The result sets that have matches, each once; of the whole grid without looking for the matches in order."""
+    inputs = Inputs(spark, folder)
+    found = inputs.grid(G.matched, measures, strategies, inputs.pairs) if len(measures) > len(_GRID_MEASURES) else None
+    if found is None:
+        found = A.all_matches(inputs.written(measures), CONFIG_SDS, strategies).select(*_RESULT_SET).distinct()
+    return inputs, found
+
+
 def _finished(spark: SparkSession, folder: str) -> DataFrame:
     """File pairs with more than a dozen verdicts and none open."""
     done = table(spark, folder, "judgments", "pair_hash", "verdict").groupBy("pair_hash").agg(F.count("*").alias("n"), F.count("verdict").alias("v"))
@@ -482,8 +491,8 @@ def next_unjudged(spark: SparkSession, folder: str, grid: tuple = _PART) -> Data
 )
 def matched_skip(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Pairs that lack a result of at least one configuration and have to be matched again."""
-    inputs, found = grid_matches(spark, folder, *grid)
-    done = found.select("pair_hash", "measure", "strategy", "sd").distinct().groupBy("pair_hash").agg(F.count("*").alias("n"))
+    inputs, found = grid_matched(spark, folder, *grid)
+    done = found.groupBy("pair_hash").agg(F.count("*").alias("n"))
     return inputs.pairs.join(done.filter(F.col("n") == len(grid[0]) * len(grid[1]) * len(CONFIG_SDS)), "pair_hash", "left_anti").select("pair_hash")
 
 

@@ -62,3 +62,14 @@ def test_tallies_are_those_of_the_matches():
 
 def test_grouped_statistics_need_no_matches(spark, data, no_matches):
     assert entry.queries()["match_stats_grouping_sets_whole"](spark, data).count() == 44
+
+
+def test_having_matches_is_known_without_their_order(monkeypatch):
+    sims, how = _random_sims(), (tuple(A.STRATEGIES), (0.0, 1.5))
+    want = {c for c, *_ in G._matches(sims, *how, G.CELLS)}
+    monkeypatch.setattr(A, "in_order", None)
+    assert {c for c, *_ in G._matches(sims, *how, G.ANY)} == want
+
+
+def test_skipping_needs_no_matches(spark, data, no_matches):
+    assert entry.queries()["matched_skip_whole"](spark, data).count() == 1
