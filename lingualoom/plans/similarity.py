@@ -334,8 +334,9 @@ def matching_grid(spark: SparkSession, folder: str, grid: tuple = _PART) -> Data
 @add("matching_grid_full")
 def matching_grid_full(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of matches in the full grid: eight measures, two strategies, two thresholds."""
-    _, found = grid_matches(spark, folder, *WHOLE)
-    return found.groupBy("measure", "strategy", "sd").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+    _, found = grid_tallies(spark, folder, *WHOLE)
+    n = F.sum("n")
+    return found.groupBy("measure", "strategy", "sd").agg(n.alias("n"), F.round(F.sum("total") / n, 6).alias("mean_sim"))
 
 
 def exported(spark: SparkSession, folder: str, production: bool) -> tuple[Inputs, DataFrame]:

@@ -73,3 +73,7 @@ def test_having_matches_is_known_without_their_order(monkeypatch):
 
 def test_skipping_needs_no_matches(spark, data, no_matches):
     assert entry.queries()["matched_skip_whole"](spark, data).count() == 1
+
+
+def test_full_counts_need_no_matches(spark, data, no_matches):
+    assert entry.queries()["matching_grid_full"](spark, data).count() == 32
