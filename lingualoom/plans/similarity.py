@@ -503,8 +503,8 @@ def matched_skip(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataF
 )
 def matching_header(spark: SparkSession, folder: str, grid: tuple = _PART) -> DataFrame:
     """Per simple file the names of all of its result sets."""
-    inputs, found = grid_matches(spark, folder, *grid)
-    named = found.select("pair_hash", "measure", "strategy", "sd").distinct().join(inputs.pairs.select("pair_hash", "simple"), "pair_hash")
+    inputs, found = grid_matched(spark, folder, *grid)
+    named = found.join(inputs.pairs.select("pair_hash", "simple"), "pair_hash")
     path = urls.matches_path("results/matched", F.col("pair_hash"), F.col("measure"), F.col("strategy"), F.col("sd"))
     return named.groupBy("simple").agg(F.array_sort(F.collect_set(path)).alias("results"))
 

@@ -77,3 +77,7 @@ def test_skipping_needs_no_matches(spark, data, no_matches):
 
 def test_full_counts_need_no_matches(spark, data, no_matches):
     assert entry.queries()["matching_grid_full"](spark, data).count() == 32
+
+
+def test_names_of_result_sets_need_no_matches(spark, data, no_matches):
+    assert entry.queries()["matching_header_whole"](spark, data).count() == 20
