@@ -67,9 +67,22 @@ def truth_by_sentence(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("pair_hash", "simple_sent").agg(F.max_by("normal_sent", "line_no").alias("normal_sent"))
 
 
+#: Folders that a task writes to at a time; the whole grid has 32.
+OPEN_FOLDERS = 64
+
+
 def write_matches(found: DataFrame, path: str) -> None:
-    """Matches in folders by configuration, so that reading one of them reads no other."""
-    found.write.mode("overwrite").partitionBy("measure", "strategy", "sd").parquet(path)
+    """Matches in folders by configuration, so that reading one of them reads no other.
+
+    A task holds a file of each configuration open, so that its rows need no sort by folder; if there are more folders, Spark sorts the rest.
+    """
+    conf, key = found.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, max(int(before), OPEN_FOLDERS))
+    try:
+        found.write.mode("overwrite").partitionBy("measure", "strategy", "sd").parquet(path)
+    finally:
+        conf.set(key, before)
 
 
 def read_matches(spark: SparkSession, path: str, measure: str | None = None, strategy: str | None = None, sd: float | None = None) -> DataFrame:

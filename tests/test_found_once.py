@@ -3,11 +3,14 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
 from lingualoom.functions import text as X
 from lingualoom.operators import align as A
+from lingualoom.operators import similarity as S
 from lingualoom.operators import whole_grid as G
+from lingualoom.sources import files
 
 
 def test_best_words_that_differ_are_the_assignment():
@@ -81,3 +84,13 @@ def test_full_counts_need_no_matches(spark, data, no_matches):
 
 def test_names_of_result_sets_need_no_matches(spark, data, no_matches):
     assert entry.queries()["matching_header_whole"](spark, data).count() == 20
+
+
+def test_matches_are_written_unsorted_to_all_folders(spark, tmp_path, monkeypatch):
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(int(spark.conf.get(key))), write(self, path))[1])
+    before = spark.conf.get(key)
+    rows = [(f"p{k}", m, s, sd, k, 1, 0.5) for k in range(3) for m in S.MEASURES for s in A.STRATEGIES for sd in (0.0, 1.5)]
+    files.write_matches(spark.createDataFrame(rows, "pair_hash string, measure string, strategy string, sd double, i int, j int, sim double"), str(tmp_path / "m"))
+    assert seen[0] >= 32 and spark.conf.get(key) == before
+    assert sorted(map(tuple, files.read_matches(spark, str(tmp_path / "m")).select("pair_hash", "measure", "strategy", "sd", "i", "j", "sim").collect())) == sorted(rows)
